@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, tokencount, tokenfile
+from . import packing, simhash, tokencount, tokenfile, toxicity
 from .pieces import tokenizer_path
 from .shared import shared_dir, table
 
@@ -28,6 +28,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
 }
 
