@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, simhash, tokencount, tokenfile, toxicity
+from . import ann, licenses, linededup, media, mixing, packing, simhash, tokencount, tokenfile, toxicity
 from .pieces import tokenizer_path
-from .shared import shared_dir, table
+from .shared import shared_dir, table, written
 
 #: Production parameters that the pipeline shares.
 LINES = {"ratio": 0.05, "least": 5}
@@ -38,6 +38,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.without_boilerplate(table(spark, sf_dir, "documents"), **LINES, counts=True)
     return rows.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
@@ -58,19 +62,34 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.best(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.copies(table(spark, sf_dir, "documents"), levels(), **MIXTURE)
     return rows.select("doc_id", F.col("_mx_domain").alias("domain"), "lang", "source", F.col("_mx_copies").alias("copies"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no recordings: the bytes of each whole text are taken as 8-bit samples, at a rate at which short ones last."""
+    sound = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
+    prints = media.fingerprints(sound, encoding="u8", rate=11025 / 32, frame=128, hop=43, id_col="doc_id")
+    found = media.search(written(prints, "media-prints"), every=100)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
+    "op3_nearest": op3_nearest,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
+    "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
