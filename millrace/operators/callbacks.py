@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import IllegalSize, check_names
 
@@ -56,39 +58,83 @@ def flat_map_rows(df: DataFrame, body: Callable[[dict], list[tuple] | None], sch
     return df.mapInPandas(run, out)
 
 
-def _one_row(result: tuple | None, key: tuple, columns: list[str], n_keys: int) -> pd.DataFrame:
-    if result is None:
-        return pd.DataFrame(columns=columns)
-    if len(result) != len(columns) - n_keys:
-        raise IllegalSize(f"{len(result)} values for {len(columns) - n_keys} columns")
-    return pd.DataFrame([[*key, *result]], columns=columns, dtype=object)
+def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Callable[[tuple, pd.DataFrame], list[tuple] | None], out: T.StructType) -> DataFrame:
+    """body turns the key and the sorted rows of each group into output rows.
 
+    Groups are made by one shuffle and Spark's sort, which spills; then many small groups share a batch, and a
+    group that is larger than a batch is put together. Only one group, and one batch, are in Python at a time."""
+    names = out.fieldNames()
 
-def aggregate_with(df: DataFrame, keys: Sequence[str], body: Callable[[tuple, pd.DataFrame], tuple | None], schema: str | T.StructType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+
+        def results(rows: pd.DataFrame, cuts: list[int]) -> list[tuple]:
+            made = []
+            for i, j in zip(cuts, cuts[1:]):
+                part = rows.iloc[i:j].reset_index(drop=True)
+                key = tuple(None if pd.isna(x) else x for x in part.loc[0, list(keys)])
+                for x in body(key, part) or ():
+                    if len(x) != len(names):
+                        raise IllegalSize(f"{len(x)} values for {len(names)} columns")
+                    made.append(x)
+            return made
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            new = batch.to_pandas(integer_object_nulls=True)
+            if not len(new):
+                continue
+            rows = pd.concat([held[-1].iloc[-1:], new], ignore_index=True) if held else new
+            k = rows[list(keys)]
+            before = k.shift()
+            differs = ((k != before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy()
+            starts = [int(i) for i in differs.nonzero()[0] if i > 0]
+            if not starts:
+                held.append(new)
+                continue
+            extra = 1 if held else 0
+            first = pd.concat([*held, new.iloc[: starts[0] - extra]], ignore_index=True) if held else new.iloc[: starts[0]]
+            made = results(first.reset_index(drop=True), [0, len(first)]) + results(rows, starts)
+            held = [rows.iloc[starts[-1] :]]
+            if made:
+                yield from pa.Table.from_pandas(pd.DataFrame(made, columns=names, dtype=object), arrow, preserve_index=False).to_batches()
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            if made := results(rows, [0, len(rows)]):
+                yield from pa.Table.from_pandas(pd.DataFrame(made, columns=names, dtype=object), arrow, preserve_index=False).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_first() for c in order]).mapInArrow(run, out)
+
+
+def aggregate_with(df: DataFrame, keys: Sequence[str], body: Callable[[tuple, pd.DataFrame], tuple | None], schema: str | T.StructType, order: Sequence[str] = ()) -> DataFrame:
     """body turns a key and all rows of its group into one tuple; None drops the group. A group must fit in a task's memory."""
     if not keys:
         raise ValueError("at least one key is needed")
     out = T.StructType([df.schema[k] for k in keys] + _struct(schema).fields)
     check_names(out.fieldNames())
-    return df.groupBy(*keys).applyInPandas(lambda key, rows: _one_row(body(key, rows), key, out.fieldNames(), len(keys)), out)
+
+    def one(key: tuple, rows: pd.DataFrame) -> list[tuple] | None:
+        made = body(key, rows)
+        return None if made is None else [(*key, *made)]
+
+    return grouped(df, keys, order, one, out)
 
 
 def over_with(df: DataFrame, partition: Sequence[str], order: Sequence[str], body: Callable[[tuple, pd.DataFrame], list[tuple] | None], schema: str | T.StructType) -> DataFrame:
-    """body turns a sorted partition (ascending, nulls first, stable) into one tuple a row; None drops the partition."""
-    new = _struct(schema).fieldNames()
+    """body turns a sorted partition (ascending, nulls first) into one tuple a row; None drops the partition. End the order in a tie-breaker."""
     out = T.StructType([*df.schema.fields, *_struct(schema).fields])
     check_names(out.fieldNames())
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), na_position="first", kind="stable").reset_index(drop=True)
+    def all_rows(key: tuple, rows: pd.DataFrame) -> list[tuple] | None:
         made = body(key, rows)
         if made is None:
-            return pd.DataFrame(columns=out.fieldNames())
+            return None
         if len(made) != len(rows):
             raise IllegalSize(f"{len(made)} tuples for {len(rows)} rows")
-        return pd.concat([rows, pd.DataFrame(made, columns=new, dtype=object)], axis=1)
+        plain = rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None)
+        return [(*r, *m) for r, m in zip(plain, made)]
 
-    return df.groupBy(*partition).applyInPandas(run, out)
+    return grouped(df, partition, order, all_rows, out)
 
 
 def table_function(schema: str, body: Callable):

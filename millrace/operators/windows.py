@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import IllegalSize, check_names, to_ts
+from ..schema import check_names, to_ts
+from .callbacks import grouped
 
 START, END = "window_start", "window_end"
 
@@ -93,11 +94,9 @@ def window_transform(df: DataFrame, keys: Sequence[str], time: str, size: int, s
     check_sizes(size, slide, keys, new.fieldNames())
     out = T.StructType([df.schema[k] for k in keys] + [T.StructField(START, T.LongType()), T.StructField(END, T.LongType()), *new.fields])
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> list[tuple]:
         *own, start, end = key
-        made = body(tuple(own), rows.sort_values(time, kind="stable").drop(columns=[START, END]), int(start), int(end)) or []
-        if any(len(x) != len(new) for x in made):
-            raise IllegalSize(f"{len(new)} values are declared")
-        return pd.DataFrame([[*own, start, end, *x] for x in made], columns=out.fieldNames(), dtype=object)
+        made = body(tuple(own), rows.drop(columns=[START, END]), int(start), int(end)) or []
+        return [(*key, *x) for x in made]
 
-    return assign_hops(df, time, size, slide, first).groupBy(*keys, START, END).applyInPandas(run, out)
+    return grouped(assign_hops(df, time, size, slide, first), [*keys, START, END], [time], one, out)
