@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,10 +86,11 @@ def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Call
             if not len(new):
                 continue
             rows = pd.concat([held[-1].iloc[-1:], new], ignore_index=True) if held else new
-            k = rows[list(keys)]
-            before = k.shift()
-            differs = ((k != before) & ~(k.isna() & before.isna())).any(axis=1).to_numpy()
-            starts = [int(i) for i in differs.nonzero()[0] if i > 0]
+            differs = np.zeros(len(rows), bool)
+            for c in keys:
+                v, null = rows[c].to_numpy(), rows[c].isna().to_numpy()
+                differs[1:] |= (v[1:] != v[:-1]) & ~(null[1:] & null[:-1])
+            starts = [int(i) for i in differs.nonzero()[0]]
             if not starts:
                 held.append(new)
                 continue
