@@ -16,6 +16,9 @@ from ..schema import to_ms
 from ..sinks import kafka as kafka_sink
 from ..sources import dimension
 from ..sources import kafka as kafka_source
+from ..streaming import jobs, stateful
+from ..streaming import windows as swin
+from . import places
 
 HOUR = 3_600_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -402,3 +405,60 @@ def json_roundtrip(spark, d):
 def partition_max(spark, d):
     rows = t(spark, d, "lineitem").withColumn("pt", F.date_format("l_shipdate", "yyyyMM"))
     return dimension.greatest_partition(rows, "pt").select("l_orderkey", "l_linenumber")
+
+
+# Streams: the events table as an unbounded one, read to its end. Only what the watermark has closed comes out.
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    reader = spark.readStream.schema(t(spark, d, "events").schema)
+    source = reader.parquet(path) if places.is_folder(spark, path) else reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    return source.withColumn("ms", to_ms(F.col("ts")))
+
+
+def drained(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
+    """What the stream gives out up to now, as a table."""
+    path, job = places.fresh(spark, what), jobs.Job()
+    job.to_table(df, path, f"{path}-checkpoint")
+    job.join()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_MARK = f"(SELECT max(ms) - 1000 AS mark FROM {EV})"
+
+
+@query(f"SELECT event_type, ws AS window_start, ws + {HOUR} AS window_end, n, total FROM (SELECT event_type, ms // {HOUR} * {HOUR} AS ws, count(*) AS n, round(sum(value), 2) AS total FROM {EV} GROUP BY ALL), {_MARK} WHERE ws + {HOUR} <= mark")
+def stream_tumble(spark, d):
+    return drained(spark, swin.tumble(event_stream(spark, d), ["event_type"], "ms", HOUR, {"n": fn.count_rows(), "total": F.round(F.sum("value"), 2)}), "stream-tumble")
+
+
+@query(f"WITH b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_id, user_id, ms, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) < {HOUR // 2} THEN 0 ELSE 1 END AS f FROM {EV})), g AS (SELECT user_id, min(ms) AS window_start, max(ms) + 1 AS window_end, count(*) AS n FROM b GROUP BY user_id, s) SELECT g.* FROM g, {_MARK} WHERE window_end - 1 + {HOUR // 2 - 1} <= mark")
+def stream_session(spark, d):
+    return drained(spark, swin.session(event_stream(spark, d), ["user_id"], "ms", HOUR // 2, {"n": fn.count_rows()}), "stream-session")
+
+
+@query(f"""WITH h AS (SELECT user_id, (ms // {HOUR // 2} - k) * {HOUR // 2} AS ws, count(*) AS n, round(sum(value), 2) AS total FROM {EV}, generate_series(0, 1) AS g(k) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY total DESC, user_id) AS rank FROM h)
+SELECT ws AS window_start, CAST(rank AS BIGINT) AS rank, user_id, n, total, c_name FROM r JOIN {_MARK} ON ws + {HOUR} <= mark LEFT JOIN customer ON user_id IS NOT DISTINCT FROM c_custkey WHERE rank <= 3""")
+def stream_hop_topn(spark, d):
+    """The flagship on a stream: each batch ranks the windows that it closes, and joins one snapshot of the dimension."""
+    hops = swin.hop(event_stream(spark, d), ["user_id"], "ms", HOUR, HOUR // 2, {"n": fn.count_rows(), "total": F.round(F.sum("value"), 2)})
+    customers = dimension.Dimension(lambda: t(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    path, job = places.fresh(spark, "stream-topn"), jobs.Job()
+
+    def write(batch: DataFrame, number: int) -> None:
+        top = swin.top_n_of_windows(batch, 3, [F.desc("total"), F.asc("user_id")])
+        customers.enrich(top, ["user_id"]).drop("c_custkey").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    job.each_batch(hops, write, f"{path}-checkpoint", bounded=True)
+    job.join()
+    return spark.read.schema("user_id long, window_start long, window_end long, n long, total double, rank long, c_name string, batch long").parquet(path).select("window_start", "rank", "user_id", "n", "total", "c_name")
+
+
+@query(f"SELECT event_id, count(*) OVER w AS n, CAST(sum(event_id) OVER w AS BIGINT) AS ids FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def stream_over_size(spark, d):
+    stateful.use_rocksdb(spark)
+    rows = event_stream(spark, d).select("user_id", "ms", "event_id")
+    out = stateful.over_size(rows, ["user_id"], ["ms", "event_id"], 5, lambda key, r: (len(r), int(r.event_id.sum())), "n long, ids long")
+    return drained(spark, out, "stream-over-size").select("event_id", "n", "ids")
