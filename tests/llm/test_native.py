@@ -57,11 +57,12 @@ def slow_share(budget, kids):
 
 
 def slow_mix(rows, weights, fraction, epochs, seed):
-    tokens = {r: len([w for w in (r[3] or "").replace("\t", " ").replace("\n", " ").split(" ") if w]) for r in rows}
+    depths = len(weights)
+    tokens = {r: len([w for w in (r[1 + depths] or "").replace("\t", " ").replace("\n", " ").split(" ") if w]) for r in rows}
     total = sum(tokens[r] for r in rows)
 
     def down(members, depth, budget):
-        if depth == 2:
+        if depth == depths:
             t = sum(tokens[r] for r in members)
             target = int(round(budget, 4))
             whole = min(target // t, epochs) if t else 0
