@@ -247,12 +247,17 @@ def deduplicated(docs: DataFrame, width: int = 3, distance: int = 2, id_col: str
 
     Rows with a null id can't be told apart by it: one of each text stays, whatever it resembles.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), width, distance, id_col, text_col)
-    kept = written(found.where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept"), "kept")
-    stays = docs.join(kept, F.col(id_col).cast("long") == kept["_kept"])
-    out = stays.where("_rows = 1").select(docs.columns)
-    if kept.where("_rows > 1").head(1):
-        out = out.unionByName(stays.where("_rows > 1").select(docs.columns).dropDuplicates([id_col]))
-    if docs.where(F.col(id_col).isNull()).head(1):
-        out = out.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    named = docs.where(F.col(id_col).isNotNull())
+    found = near_duplicates(named, width, distance, id_col, text_col)
+    # Ids whose rows don't just stay: those of other members, and those that several rows have.
+    marked = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
+    marked = written(marked.where("_first <> _id or _rows > 1"), "marked")
+    # Hashed to the texts by id at every size: the list grows with the corpus, so it isn't broadcast, and texts aren't sorted.
+    out = named.join(marked.select("_id").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    again = marked.where("_first = _id").select("_id")
+    if again.head(1):
+        out = out.unionByName(named.join(again.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    nameless = docs.where(F.col(id_col).isNull())
+    if nameless.head(1):
+        out = out.unionByName(nameless.dropDuplicates([text_col]))
     return out
