@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -243,7 +243,7 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id (of repeated rows of it, one). All columns stay.
+    """docs with one document of each component: the one with the smallest id (of rows that share it, the first by a hash of the text). All columns stay.
 
     Rows with a null id can't be told apart by it: one of each text stays, whatever it resembles.
     """
@@ -256,7 +256,9 @@ def deduplicated(docs: DataFrame, width: int = 3, distance: int = 2, id_col: str
     out = named.join(marked.select("_id").hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
     again = marked.where("_first = _id").select("_id")
     if again.head(1):
-        out = out.unionByName(named.join(again.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+        rows = named.join(again.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_id"), "left_semi")
+        first = Window.partitionBy(id_col).orderBy(F.md5(text_col), F.to_json(F.struct(*docs.columns)))
+        out = out.unionByName(rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place"))
     nameless = docs.where(F.col(id_col).isNull())
     if nameless.head(1):
         out = out.unionByName(nameless.dropDuplicates([text_col]))
