@@ -29,6 +29,8 @@ from .shared import small_batches, written
 
 #: Classes of a bucket beyond which it is split; children of an index node; shingles hashed and node pairs compared at once.
 HOT, FAN, SHINGLES, PAIRS = 20_000, 8, 100_000, 400_000
+#: Members of a local component of which all pairs are candidates for similar().
+GROUP = 64
 SEED = 42
 
 
@@ -156,8 +158,34 @@ def linked(bucket: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
     return order[moved], order[label[moved]]
 
 
-def links(classes: DataFrame, distance: int) -> DataFrame:
-    """classes: fp, rep, one row a fingerprint. Returns u, v: links between reps that connect all within distance."""
+def pairs_of(fp: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within distance in each local component, given as the stars that linked() makes (member, head).
+
+    In a component of over GROUP members: each member with the head and with the members up to GROUP / 2 places on in
+    Gray order. In so dense a group these join what all pairs would, and the number of pairs stays linear."""
+    members = np.concatenate((i, np.unique(j)))
+    heads = np.concatenate((j, np.unique(j)))
+    order = np.lexsort((gray_rank(fp[members]), heads))
+    members, heads = members[order], heads[order]
+    if not len(members):
+        return i, j
+    begin = np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1))
+    size = np.diff(np.append(begin, len(members)))
+    many = np.repeat(size > GROUP, size)
+    left, right = [members[many]], [heads[many]]
+    for step in range(1, min(int(size.max()), GROUP)):
+        near = heads[step:] == heads[:-step]
+        if step > GROUP // 2:
+            near &= ~many[step:]
+        near &= np.bitwise_count(fp[members[step:]] ^ fp[members[:-step]]) <= distance
+        left.append(members[step:][near])
+        right.append(members[:-step][near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def links(classes: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
+    """classes: fp, rep, one row a fingerprint. Returns u, v: links between reps that connect all within distance.
+    With pairs (for which fingerprints may repeat): candidate pairs, as pairs_of() gives them."""
     edges = None
     rows, levels = classes, parts_of(distance)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -172,14 +200,14 @@ def links(classes: DataFrame, distance: int) -> DataFrame:
         sizes = rows.groupBy("path", "value").agg(F.count("*").alias("size")).where("size > 1")
         last = level == len(levels) - 1
         sized = written(rows.join(sizes, ["path", "value"]), "buckets") if not last else rows.join(sizes, ["path", "value"])
-        found = search(sized if last else sized.where(F.col("size") <= HOT), distance)
+        found = search(sized if last else sized.where(F.col("size") <= HOT), distance, pairs)
         edges = found if edges is None else edges.unionByName(found)
         if last or not (rows := sized.where(F.col("size") > HOT).select("fp", "rep", "path")).head(1):
             return edges
     return edges
 
 
-def search(rows: DataFrame, distance: int) -> DataFrame:
+def search(rows: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
     """The links within each bucket (path, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +228,8 @@ def search(rows: DataFrame, distance: int) -> DataFrame:
             held = [x[cut:] for x in held]
             bucket = np.cumsum(np.concatenate(([0], (path[1:] != path[:-1]) | (value[1:] != value[:-1]))))
             i, j = linked(bucket, fp.view(np.uint64), distance)
+            if pairs:
+                i, j = pairs_of(fp.view(np.uint64), i, j, distance)
             yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["u", "v"])
 
     near = rows.select("path", "value", "fp", "rep").repartition("path", "value").sortWithinPartitions("path", "value")
@@ -242,13 +272,98 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id (of rows that share it, the first by a hash of the text). All columns stay.
+# Near-duplicates by a checked similarity: SimHash finds candidates, shingles decide.
+
+
+def word_fingerprints_of(texts: list[str | None], seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each text's words in order, and for each seed a fingerprint of its distinct words."""
+    import xxhash
+
+    node, fps = np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(seeds)), np.uint64)
+    for k, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        node[k] = xxhash.xxh3_64_intdigest(b" ".join(words))
+        single = list(set(words))
+        for s, seed in enumerate(seeds if words else ()):
+            counts = np.zeros(64, np.int64)
+            for a in range(0, len(single), SHINGLES):
+                part = single[a : a + SHINGLES]
+                h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(seed)), np.uint64, len(part))
+                counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            fps[k, s] = np.packbits(2 * counts > len(single), bitorder="little").view(np.uint64)[0]
+    return node, fps
+
+
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles (of fewer words: of the whole)."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id, one row each of docs: texts of equal words, or linked by a Jaccard similarity of their
+    shingles of at least this, are one component, named by its smallest doc_id.
+
+    Candidates are texts whose fingerprints (of distinct words, one for each seed) differ in at most ``distance``
+    bits: edits change few of a text's distinct words, but five times as many shingles. Each candidate pair is then
+    decided by the shingles of both whole texts. Rows with a null id must be left out before.
+    """
+    small_batches(docs.sparkSession)
+    names = [f"f{k}" for k in range(len(seeds))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fps = word_fingerprints_of(batch.column(1).to_pylist(), seeds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, s]).view(np.int64)) for s in range(len(seeds))]], names=["doc_id", "node", *names])
+
+    printed = written(rows.mapInArrow(prints, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
+    classes = written(printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "text-classes")
+    found = None
+    for n in names:
+        pairs = links(classes.select(F.col(n).alias("fp"), F.col("node").alias("rep")), distance, True)
+        found = pairs if found is None else found.unionByName(pairs)
+    pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = classes.join(asked, "node", "left_semi").select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            mine = word_fingerprints_of(texts, ())[0].view(np.int64) == nodes  # rows that share an id may hold other texts
+            sets = [shingles_of(texts[k], width).tobytes() for k in np.flatnonzero(mine)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(sets, pa.binary())], names=["node", "s"])
+
+    texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_rep")).select("text", "_node")
+    sets = written(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "shingles")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    edges = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
+    groups = components(edges)
+    placed = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+    first = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return printed.join(placed.join(first, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each component that similar(), with these parameters, finds: the one with the smallest id (of rows that share it, the first by a hash of the text). All columns stay.
 
     Rows with a null id can't be told apart by it: one of each text stays, whatever it resembles.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    found = near_duplicates(named, width, distance, id_col, text_col)
+    found = similar(named, id_col=id_col, text_col=text_col, **how)
     # Ids whose rows don't just stay: those of other members, and those that several rows have.
     marked = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_first"), F.count("*").alias("_rows"))
     marked = written(marked.where("_first <> _id or _rows > 1"), "marked")

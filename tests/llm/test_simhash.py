@@ -96,9 +96,56 @@ def test_near_duplicates(spark, monkeypatch, hot):
     assert len(got) == len(rows)
     for r in got:
         assert (r.fingerprint, r.component_id) == want[100 if r.doc_id is None else r.doc_id]
-    kept = simhash.deduplicated(df).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for _, c in want.values()})
-    assert sum(r.doc_id is None for r in kept) == 1
+
+
+def slow_similar(texts, seeds=(1, 2, 3, 4), distance=4, width=5, least=0.8):
+    """Components by index: equal words, or fingerprints near for a seed and shingles similar."""
+    words = [(t or "").lower().split() for t in texts]
+    fps = [[0 if not w else sum(1 << k for k in range(64) if 2 * sum(xxhash.xxh64_intdigest(x.encode(), s) >> k & 1 for x in set(w)) > len(set(w))) for s in seeds] for w in words]
+    sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in words]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(texts)):
+            for j in range(i):
+                if label[i] != label[j] and (words[i] == words[j] or any((a ^ b).bit_count() <= distance for a, b in zip(fps[i], fps[j])) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return label
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_similar(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 4000, 80)) for _ in range(15)]
+    for _ in range(50):
+        words = texts[rnd.integers(len(texts))].split()
+        for _ in range(rnd.integers(0, 3)):
+            words[rnd.integers(len(words))] = f"new{rnd.integers(99)}"
+        texts.append(" ".join(words))
+    texts += ["", None, " \n", "two words", "words two", "Two  WORDS"]
+    rows = [(int(k) + 100, t) for k, t in enumerate(texts)][::-1] + [(100, texts[0]), (101, "another text under a used id"), (None, texts[0]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as rep", "3 as _rows")
+    label = slow_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df.where("doc_id <> 101")).collect()}
+    want = {k + 100: c + 100 for k, c in enumerate(slow_similar([t for k, t in enumerate(texts) if k != 1]))}
+    assert len(set(label)) < len(texts) - 20
+    shift = lambda i: i if i == 100 else i + 1  # noqa: E731  (without row 101)
+    assert got == {shift(i): shift(c) for i, c in want.items()}
+    kept = simhash.deduplicated(df)
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert kept.columns == df.columns and len(ids) == len(set(ids)) and set(ids) >= {k + 100 for k, c in enumerate(label) if k == c and k != 1}
+    assert kept.where("doc_id is null").count() == 1
+
+
+def test_large_groups_stay_joined():
+    rnd = np.random.default_rng(0)
+    fp = np.array([int(rnd.integers(0, 4)) << int(rnd.integers(0, 8)) for _ in range(900)], np.uint64)
+    i, j = simhash.linked(np.zeros(900, np.int64), fp, 4)
+    a, b = simhash.pairs_of(fp, i, j, 4)
+    assert rep_of(900, a, b) == rep_of(900, i, j) and len(a) < 900 * simhash.GROUP
 
 
 def test_nameless_rows_bridge(spark):
