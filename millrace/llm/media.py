@@ -11,8 +11,8 @@ holds one of them (so items of silence or noise that most recordings hold needn'
 is aligned at the offset at which most equal items meet (a histogram of offsets, over all equal items),
 and matches if there at most ERRORS of the bits differ over at least LEAST items.
 
-Recordings with equal fingerprints are one class, named by its smallest id; only classes are
-compared. Nulls: a null recording has no samples; one shorter than a window has no items, is a class
+Recordings with equal fingerprints (by 128 bits of hash) are one class, named by its smallest id;
+only classes are compared. Nulls: a null recording has no samples; one shorter than a window has no items, is a class
 of its own and matches nothing; one with fewer than LEAST distinct items matches its own class alone.
 Rows with a null id belong to classes but don't name one that has an id. Repeated rows each get a row.
 An empty table gives no rows. Other columns are not read.
@@ -164,9 +164,10 @@ def search(prints: DataFrame, every: int = 100) -> DataFrame:
     matches is null but for rows whose id is divisible by ``every``; there it holds (class_id, offset,
     overlap, bit_errors) of each other class that matches, by class_id.
     """
-    some = prints.where(F.size("items") > 0)
+    keyed = prints.withColumns({"ka": F.xxhash64("items"), "kb": F.xxhash64(F.lit("items"), "items")})
+    some = keyed.where(F.size("items") > 0)
     asked = F.coalesce(F.col("id") % every == 0, F.lit(False))
-    classes = written(some.where("id is not null").groupBy("items").agg(F.min("id").alias("class_id"), F.max(asked).alias("asked")), "media-classes")
+    classes = written(some.where("id is not null").groupBy("ka", "kb").agg(F.min("id").alias("class_id"), F.max(asked).alias("asked"), F.first("items").alias("items")), "media-classes")
     single = classes.select("class_id", "asked", F.explode(F.array_distinct("items")).alias("item"))
     common = single.groupBy("item").agg(F.count("*").alias("held"))
     own = single.where("asked").select("class_id", "item").join(common, "item")
@@ -194,7 +195,7 @@ def search(prints: DataFrame, every: int = 100) -> DataFrame:
 
     found = both.select("q", "class_id", "a", "b").mapInArrow(run, "q long, class_id long, offset long, overlap long, bit_errors long")
     lists = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("class_id", "offset", "overlap", "bit_errors"))).alias("matches"))
-    named = classes.select("items", "class_id").join(lists, F.col("q") == F.col("class_id"), "left").select("items", "class_id", "matches")
-    rows = prints.join(named, "items", "left")
+    named = classes.select("ka", "kb", "class_id").join(lists, F.col("q") == F.col("class_id"), "left").select("ka", "kb", "class_id", "matches")
+    rows = keyed.select("id", "ka", "kb", F.size("items").cast("long").alias("n_items")).join(named, ["ka", "kb"], "left")
     none = F.lit(None).cast("array<struct<class_id:bigint,offset:bigint,overlap:bigint,bit_errors:bigint>>")
-    return rows.select("id", F.size("items").cast("long").alias("n_items"), F.coalesce("class_id", "id").alias("class_id"), F.when(asked, F.coalesce("matches", F.array().cast("array<struct<class_id:bigint,offset:bigint,overlap:bigint,bit_errors:bigint>>"))).otherwise(none).alias("matches"))
+    return rows.select("id", "n_items", F.coalesce("class_id", "id").alias("class_id"), F.when(asked, F.coalesce("matches", F.array().cast("array<struct<class_id:bigint,offset:bigint,overlap:bigint,bit_errors:bigint>>"))).otherwise(none).alias("matches"))
