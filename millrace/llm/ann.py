@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 
 #: Rows that centres are fitted on at most; rows of a block and of a query block; candidates of a block that are reranked.
 SAMPLE, BLOCK, QUERIES, RERANK = 10_000, 4096, 512, 100
@@ -184,7 +184,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     many, waves = index.count(), queries.count()
     if not many or not waves:
         return spark.createDataFrame([], kind)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    small_batches(spark)
     lanes = min(waves, 16)
     left = index.withColumn("cell", F.pmod("block", F.lit(min(many, 64)))).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     right = queries.withColumn("lane", F.pmod(F.xxhash64("q_ids"), F.lit(lanes)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(many, 64) - 1).cast("long"))))
