@@ -27,6 +27,8 @@ from .shared import small_batches
 
 #: Ids after which a block ends, with the document in hand.
 BLOCK_IDS = 2_000_000
+#: Ids below this are counted in a table.
+TABLE = 1 << 22
 SCHEMA = "part int, block int, start long, n_ids long, n_docs long, doc_ids binary, known binary, lengths binary, ranks binary, control binary, data binary"
 #: Byte lengths of four codes by control byte.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64) + 1
@@ -34,11 +36,19 @@ LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.int64)
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """ranks, control and data of these ids."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    code = rank[inverse]
+    if len(ids) and int(ids.max()) < TABLE:  # any vocabulary: counted and ranked by a table, without a sort of all ids
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        order = np.argsort(-counts[values], kind="stable")
+        rank = np.empty(len(counts), np.int64)
+        rank[values[order]] = np.arange(len(order))
+        code = rank[ids]
+    else:
+        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = rank[inverse]
     size = 1 + (code >= 1 << 8).astype(np.int64) + (code >= 1 << 16) + (code >= 1 << 24)
     control = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     control[: len(code)] = size - 1

@@ -81,7 +81,7 @@ def test_token_files_round_trip(spark, tmp_path):
 
 def test_code_of_every_width():
     rnd = np.random.default_rng(0)
-    for ids in [np.arange(70000), rnd.integers(0, 300, 5001), np.array([], int), np.array([7])]:
+    for ids in [np.arange(70000), rnd.integers(0, 300, 5001), np.array([], int), np.array([7]), np.array([5_000_000, 3, 3])]:
         ranks, control, data = tokenfile.encode_block(ids)
         assert (tokenfile.decode_block(len(ids), ranks, control, data) == ids).all()
         assert len(control) == -(-len(ids) // 4)
