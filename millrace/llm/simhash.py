@@ -29,8 +29,10 @@ from .shared import small_batches, written
 
 #: Classes of a bucket beyond which it is split; children of an index node; shingles hashed and node pairs compared at once.
 HOT, FAN, SHINGLES, PAIRS = 20_000, 8, 100_000, 400_000
-#: Members of a local component of which all pairs are candidates for similar().
+#: Members of a local component, or texts with a shingle in their prefixes, of which all pairs are candidates for similar().
 GROUP = 64
+#: Texts of which frequent shingles are counted; the most of these that are kept; shingles of a block of texts that are compared in memory.
+SAMPLE, FREQUENT, BLOCK = 4000, 100_000, 1_000_000
 SEED = 42
 
 
@@ -162,7 +164,7 @@ def pairs_of(fp: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> tup
     """Pairs within distance in each local component, given as the stars that linked() makes (member, head).
 
     In a component of over GROUP members: each member with the head and with the members up to GROUP / 2 places on in
-    Gray order. In so dense a group these join what all pairs would, and the number of pairs stays linear."""
+    Gray order, so that the number of pairs stays linear. regrouped() finds by shingles what these leave apart."""
     members = np.concatenate((i, np.unique(j)))
     heads = np.concatenate((j, np.unique(j)))
     order = np.lexsort((gray_rank(fp[members]), heads))
@@ -272,7 +274,7 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by a checked similarity: SimHash finds candidates, shingles decide.
+# Near-duplicates by a checked similarity: SimHash and then shared shingles find candidates, whole sets of shingles decide.
 
 
 def word_fingerprints_of(texts: list[str | None], seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -303,32 +305,8 @@ def shingles_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id, one row each of docs: texts of equal words, or linked by a Jaccard similarity of their
-    shingles of at least this, are one component, named by its smallest doc_id.
-
-    Candidates are texts whose fingerprints (of distinct words, one for each seed) differ in at most ``distance``
-    bits: edits change few of a text's distinct words, but five times as many shingles. Each candidate pair is then
-    decided by the shingles of both whole texts. Rows with a null id must be left out before.
-    """
-    small_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(len(seeds))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, fps = word_fingerprints_of(batch.column(1).to_pylist(), seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, s]).view(np.int64)) for s in range(len(seeds))]], names=["doc_id", "node", *names])
-
-    printed = written(rows.mapInArrow(prints, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
-    classes = written(printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "text-classes")
-    found = None
-    for n in names:
-        pairs = links(classes.select(F.col(n).alias("fp"), F.col("node").alias("rep")), distance, True)
-        found = pairs if found is None else found.unionByName(pairs)
-    pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = classes.join(asked, "node", "left_semi").select(F.col("rep").alias("_rep"), F.col("node").alias("_node"))
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, s: the shingles of each text asked for (_rep, an id of rows that has it; _node, its hash), once."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +316,13 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(sets, pa.binary())], names=["node", "s"])
 
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_rep")).select("text", "_node")
-    sets = written(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "shingles")
+    return written(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "shingles")
+
+
+def decided(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose shingles are similar."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = sets_of(rows, classes.join(asked, "node", "left_semi").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), width)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,9 +334,214 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance:
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    edges = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
-    groups = components(edges)
-    placed = classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
+
+
+def frequent(rows: DataFrame, printed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of SAMPLE texts hold, sorted, and in how many: they come last in prefixes, which saves work and changes no result."""
+    sample = printed.groupBy("node").agg(F.min("doc_id").alias("_rep")).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("_rep", F.col("node").alias("_node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(text.as_py(), width).view(np.int64))], names=["h"])
+
+    texts = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_rep")).select("text")
+    found = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in one order for all texts (rare ones first), so many that two similar texts have one in common."""
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
+    rank = np.where(common[at] == shingles, often[at], 0) if len(common) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut where the first ``keys`` columns change, so that no key is divided."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in _then_none(batches):
+        if batch is not None:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            size += batch.num_rows
+            if size < SHINGLES:
+                continue
+        if not size:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held)]
+        cut = size
+        if batch is not None:
+            last = np.flatnonzero(np.any([c != c[-1] for c in columns[:keys]], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield [c[:cut] for c in columns]
+        held, size = [[c[cut:] for c in columns]], size - cut
+
+
+def listed(rows: DataFrame, grouped: DataFrame, printed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v, many: pairs of different groups that share a shingle of their prefixes (all similar pairs do) and whose
+    numbers of shingles allow the similarity. For a shingle of over GROUP texts, each of them with the first (many)."""
+    common, often = frequent(rows, printed, width)
+    shared = rows.sparkSession.sparkContext.broadcast((common, often))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            nodes, h, size = word_fingerprints_of(texts, ())[0].view(np.int64), [], []
+            own = []
+            for node, text in zip(nodes.tolist(), texts):
+                if node not in seen:
+                    seen.add(node)
+                    s = shingles_of(text, width)
+                    h.append(prefix_of(s, similarity, *shared.value))
+                    size.append(len(s))
+                    own.append(node)
+            times = [len(x) for x in h]
+            if h:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(own, times)), pa.array(np.repeat(size, times).astype(np.int32))], names=["h", "node", "n"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, node, n in _whole(batches, 1):
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+            h, node, n = h[new], node[new], n[new]
+            with_next = np.append(h[1:] == h[:-1], False)
+            keep = with_next | np.concatenate(([False], with_next[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["h", "node", "n"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, node, n, group in _whole(batches, 1):
+            begin = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+            size = np.diff(np.append(begin, len(h)))
+            mixed = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
+            many = np.repeat(mixed & (size > GROUP), size)
+            few = np.repeat(mixed & (size <= GROUP), size)
+            u, v = [node[many]], [np.repeat(node[begin], size)[many]]
+            total = len(u[0])
+            for step in range(1, min(GROUP, len(h))):
+                near = few[step:] & (h[step:] == h[:-step]) & (group[step:] != group[:-step])
+                a, b = n[step:], n[:-step]
+                near &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+                u.append(node[step:][near])
+                v.append(node[:-step][near])
+            both = np.unique(np.stack((np.concatenate(u[1:] or [node[:0]]), np.concatenate(v[1:] or [node[:0]]))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u[0], both[0]))), pa.array(np.concatenate((v[0], both[1]))), pa.array(np.arange(total + both.shape[1]) < total)], names=["u", "v", "many"])
+
+    entries = rows.select("text").mapInArrow(cut, "h long, node long, n int").repartition("h").sortWithinPartitions("h", "node")
+    met = written(entries.mapInArrow(several, "h long, node long, n int"), "prefixes")
+    lists = met.join(grouped.select("node", "group"), "node").select("h", "node", "n", "group").repartition("h").sortWithinPartitions("h", "node")
+    return written(lists.mapInArrow(pair, "u long, v long, many boolean").distinct(), "pairs")
+
+
+def merged(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> np.ndarray:
+    """A label of each text: texts of a group, and those joined by similar sets, share one. Exact: each text outside the
+    largest group is compared with all others, those that share most first, so that one original soon joins its copies."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    by = owner[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token))
+    begins = ends - np.bincount(token)
+    first = np.cumsum(size) - size
+    _, label, count = np.unique(group, return_inverse=True, return_counts=True)
+    label = label.copy()
+    largest = int(np.flatnonzero(label == np.argmax(count))[0])
+    for k in np.argsort(-np.bincount(owner, (ends - begins)[token], n), kind="stable"):
+        if label[k] == label[largest]:
+            continue
+        own = token[first[k] : first[k] + size[k]]
+        own = own[ends[own] - begins[own] > 1]
+        both = np.zeros(n, np.int64)
+        reach = np.cumsum(ends[own] - begins[own])
+        for part in np.split(own, np.flatnonzero(np.diff(reach // PAIRS)) + 1):
+            if len(part):
+                long = ends[part] - begins[part]
+                both += np.bincount(by[np.repeat(begins[part] - np.cumsum(long) + long, long) + np.arange(long.sum())], minlength=n)
+        near = both >= similarity * (size[k] + size - both)
+        near &= label != label[k]
+        if near.any():
+            label[np.isin(label, label[near])] = label[k]
+    return label
+
+
+def crowded(rows: DataFrame, grouped: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: links between the similar texts of what ``found`` joins, each of its components in pairs of blocks of BLOCK shingles."""
+    parts = components(found)
+    members = written(parts.join(grouped, "node").select("node", "rep", "group", F.col("component").alias("part")), "crowds")
+    sets = sets_of(rows, members.select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), width)
+    sizes = sets.select("node", F.length("s").alias("bytes")).join(members, "node")
+    ahead = Window.partitionBy("part").orderBy("group", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = written(sizes.withColumn("block", F.floor(F.sum("bytes").over(ahead) / (8 * BLOCK))), "blocks")
+    last = placed.groupBy("part").agg(F.max("block").alias("last"))
+    other = placed.join(last, "part").select("node", "group", "part", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with"))
+    tasks = other.select("node", "group", "part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, group, held = None, [], [], []
+        for batch in _then_none(batches):
+            for k in range(1 if batch is None else batch.num_rows):
+                now = None if batch is None else tuple(batch.column(c)[k].as_py() for c in range(3))
+                if now != key and held:
+                    label = merged(held, np.array(group), similarity)
+                    _, at = np.unique(label, return_index=True)
+                    names = np.array(node)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[at[np.searchsorted(label[at], label)]])], names=["u", "v"])
+                    node, group, held = [], [], []
+                if batch is not None:
+                    key = now
+                    node.append(batch.column(3)[k].as_py())
+                    group.append(batch.column(4)[k].as_py())
+                    held.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
+
+    near = tasks.join(sets, "node").select("part", "i", "j", "node", "group", "s").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
+    return near.mapInArrow(run, "u long, v long")
+
+
+def regrouped(rows: DataFrame, classes: DataFrame, grouped: DataFrame, printed: DataFrame, width: int, similarity: float) -> DataFrame:
+    """grouped, with the groups joined that hold similar texts."""
+    met = listed(rows, grouped, printed, width, similarity)
+    edges = decided(rows, classes, met.where("not many").select("u", "v"), width, similarity)
+    if (many := met.where("many").select("u", "v")).head(1):
+        edges = edges.unionByName(crowded(rows, grouped, many, width, similarity))
+    groups = components(edges.unionByName(grouped.select(F.col("node").alias("u"), F.col("group").alias("v"))))
+    return grouped.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+    """doc_id, component_id, one row each of docs: texts of equal words, or linked by a Jaccard similarity of their
+    shingles of at least this, are one component, named by its smallest doc_id.
+
+    First, texts whose fingerprints (of distinct words, one for each seed) differ in at most ``distance`` bits are
+    compared: that joins most copies at little cost, but not all. If ``complete``, texts of different groups that share
+    a shingle of their prefixes are then, which misses no similar pair; shingles that many texts share are taken in
+    blocks. Each pair is decided by the shingles of both whole texts. Rows with a null id must be left out before.
+    """
+    small_batches(docs.sparkSession)
+    names = [f"f{k}" for k in range(len(seeds))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fps = word_fingerprints_of(batch.column(1).to_pylist(), seeds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, s]).view(np.int64)) for s in range(len(seeds))]], names=["doc_id", "node", *names])
+
+    printed = written(rows.mapInArrow(prints, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
+    classes = written(printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "text-classes")
+    found = None
+    for n in names:
+        pairs = links(classes.select(F.col(n).alias("fp"), F.col("node").alias("rep")), distance, True)
+        found = pairs if found is None else found.unionByName(pairs)
+    pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
+    groups = components(decided(rows, classes, pairs, width, similarity))
+    grouped = written(classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group")), "groups")
+    placed = regrouped(rows, classes, grouped, printed, width, similarity) if complete else grouped
     first = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
     return printed.join(placed.join(first, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
 

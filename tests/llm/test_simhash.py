@@ -164,3 +164,59 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (100, 300), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100}
+
+
+def exact(texts, width=5, least=0.8):
+    """Components by index over all pairs of similar shingles, without a rule for candidates."""
+    sets = [simhash.shingles_of(t, width) for t in texts]
+    i, j = [], []
+    for a in range(len(texts)):
+        for b in range(a):
+            if least <= min(len(sets[a]), len(sets[b])) / max(len(sets[a]), len(sets[b])):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    i.append(a)
+                    j.append(b)
+    return rep_of(len(texts), np.array(i, int), np.array(j, int))
+
+
+def test_similar_finds_appended_passages(spark):
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rnd.integers(0, 9000, rnd.integers(90, 160))) for _ in range(40)]
+    for k in range(40):
+        words, new = texts[k].split(), [f"n{x}" for x in rnd.integers(0, 9000, rnd.integers(10, 28))]
+        at = [0, len(words), len(words) // 2][k % 3]
+        texts.append(" ".join(words[:at] + new + words[at:]))
+    want = exact(texts)
+    assert len(set(want)) < 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df, complete=True).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("block", [1_000_000, 60_000])
+def test_similar_joins_a_star(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = np.random.default_rng(4)
+    origin = [f"w{k}" for k in range(400)]
+    texts = [" ".join(origin)]
+    for n in range(1000):
+        words = origin.copy()
+        for k in rnd.choice(400, 8, replace=False):
+            words[k] = f"c{n}x{k}"
+        texts.append(" ".join(words))
+    texts += ["a b c d e f", " ".join(origin[:300])]
+    sets = [simhash.shingles_of(t, 5) for t in texts]
+    near = [len(np.intersect1d(s, sets[0])) >= 0.8 * len(np.union1d(s, sets[0])) for s in sets]
+    assert sum(near) > 990
+    ids = [(1500 - k if k else 2000, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(ids, "doc_id long, text string"), complete=True).collect()}
+    assert len({got[i] for (i, _), n in zip(ids, near) if n}) == 1
+
+
+def test_merged_is_exact():
+    rnd = np.random.default_rng(6)
+    sets = [np.sort(rnd.choice(60, rnd.integers(1, 50), replace=False)).astype(np.uint64) for _ in range(150)]
+    i, j = zip(*[(a, b) for a in range(150) for b in range(150) if len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))])
+    want = rep_of(150, np.array(i), np.array(j))
+    label = simhash.merged(sets, np.arange(150), 0.6)
+    assert len(set(want)) == len(set(zip(want, label.tolist()))) == len(set(label.tolist())) < 150
