@@ -9,9 +9,9 @@ negative. Soft thresholding leaves few features, so a text is scored by looking
 A fifth of the sample, not trained on, places the threshold where recall² / predicted share is
 greatest, which needs no negatives; the scores are scaled so that it lies at THRESHOLD.
 
-The sample is the only bounded thing: at most SAMPLE labelled rows, the first by a hash of their id,
-and WORDS distinct words of each. Everything else reads all rows and whole texts. Scores come from
-the text alone: labels, lang, source and doc_id are never inputs.
+The sample is the only bounded thing: at most SAMPLE labelled rows, the first by a hash of their id.
+All words of these are learned from; everything else reads all rows. Scores come from the text alone:
+labels, lang, source and doc_id are never inputs.
 
 Nulls: a null text is scored as empty; labels that are null or whose id is null are not used; a
 null id is not held out. Repeated rows are scored each. Without a confirmed toxic row that may be
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: Labelled rows that training uses at most, and distinct words of each (the first by hash).
-SAMPLE, WORDS = 6000, 4000
+#: Labelled rows that training uses at most.
+SAMPLE = 6000
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.7
 #: Features in fewer texts of the sample are left out; steps, step size and L1 weight of training.
@@ -94,8 +94,6 @@ def train(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, steps:
     rows, owner = [], []
     for k, text in enumerate(texts):
         words = words_of(text)
-        if len(words) > WORDS:
-            words = sorted(words, key=lambda w: zlib.crc32(w.encode()))[:WORDS]
         f = np.unique(np.fromiter((f for w in words for f in features_of(w)), np.uint32))
         rows.append(f)
         owner.append(np.full(len(f), k, np.int32))

@@ -63,3 +63,13 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.score, r.predicted) for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()] == [(0.0, 0)]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
+
+
+def test_all_words_of_long_texts_are_learned_from():
+    bad = max((f"vile{k}" for k in range(5000)), key=lambda w: zlib.crc32(w.encode()))
+    long = [f"w{k}" for k in range(5000)]
+    assert sum(zlib.crc32(w.encode()) < zlib.crc32(bad.encode()) for w in long) > 4500
+    texts = [" ".join(long + [bad] * (k % 3 == 0)) for k in range(60)]
+    toxic = np.arange(60) % 3 == 0
+    scores = toxicity.train(texts, toxic).scores(texts, {})
+    assert ((scores >= toxicity.THRESHOLD) == toxic).all()
