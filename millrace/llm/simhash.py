@@ -21,18 +21,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import small_batches, written
+from .shared import discard, small_batches, written
 
 #: Classes of a bucket beyond which it is split; children of an index node; shingles hashed and node pairs compared at once.
 HOT, FAN, SHINGLES, PAIRS = 20_000, 8, 100_000, 400_000
-#: Members of a local component, or texts with a shingle in their prefixes, of which all pairs are candidates for similar().
-GROUP = 64
-#: Texts of which frequent shingles are counted; the most of these that are kept; shingles of a block of texts that are compared in memory.
-SAMPLE, FREQUENT, BLOCK = 4000, 100_000, 1_000_000
+#: Texts of which frequent shingles are counted; shingles of a chunk of texts that are sent at once; of a block of texts that are compared in memory.
+SAMPLE, CHUNK, BLOCK = 4000, 2_000_000, 1_000_000
 SEED = 42
 
 
@@ -160,34 +159,8 @@ def linked(bucket: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
     return order[moved], order[label[moved]]
 
 
-def pairs_of(fp: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within distance in each local component, given as the stars that linked() makes (member, head).
-
-    In a component of over GROUP members: each member with the head and with the members up to GROUP / 2 places on in
-    Gray order, so that the number of pairs stays linear. regrouped() finds by shingles what these leave apart."""
-    members = np.concatenate((i, np.unique(j)))
-    heads = np.concatenate((j, np.unique(j)))
-    order = np.lexsort((gray_rank(fp[members]), heads))
-    members, heads = members[order], heads[order]
-    if not len(members):
-        return i, j
-    begin = np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1))
-    size = np.diff(np.append(begin, len(members)))
-    many = np.repeat(size > GROUP, size)
-    left, right = [members[many]], [heads[many]]
-    for step in range(1, min(int(size.max()), GROUP)):
-        near = heads[step:] == heads[:-step]
-        if step > GROUP // 2:
-            near &= ~many[step:]
-        near &= np.bitwise_count(fp[members[step:]] ^ fp[members[:-step]]) <= distance
-        left.append(members[step:][near])
-        right.append(members[:-step][near])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def links(classes: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
-    """classes: fp, rep, one row a fingerprint. Returns u, v: links between reps that connect all within distance.
-    With pairs (for which fingerprints may repeat): candidate pairs, as pairs_of() gives them."""
+def links(classes: DataFrame, distance: int) -> DataFrame:
+    """classes: fp, rep, one row a fingerprint. Returns u, v: links between reps that connect all within distance."""
     edges = None
     rows, levels = classes, parts_of(distance)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -202,14 +175,14 @@ def links(classes: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
         sizes = rows.groupBy("path", "value").agg(F.count("*").alias("size")).where("size > 1")
         last = level == len(levels) - 1
         sized = written(rows.join(sizes, ["path", "value"]), "buckets") if not last else rows.join(sizes, ["path", "value"])
-        found = search(sized if last else sized.where(F.col("size") <= HOT), distance, pairs)
+        found = search(sized if last else sized.where(F.col("size") <= HOT), distance)
         edges = found if edges is None else edges.unionByName(found)
         if last or not (rows := sized.where(F.col("size") > HOT).select("fp", "rep", "path")).head(1):
             return edges
     return edges
 
 
-def search(rows: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
+def search(rows: DataFrame, distance: int) -> DataFrame:
     """The links within each bucket (path, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +203,6 @@ def search(rows: DataFrame, distance: int, pairs: bool = False) -> DataFrame:
             held = [x[cut:] for x in held]
             bucket = np.cumsum(np.concatenate(([0], (path[1:] != path[:-1]) | (value[1:] != value[:-1]))))
             i, j = linked(bucket, fp.view(np.uint64), distance)
-            if pairs:
-                i, j = pairs_of(fp.view(np.uint64), i, j, distance)
             yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j])], names=["u", "v"])
 
     near = rows.select("path", "value", "fp", "rep").repartition("path", "value").sortWithinPartitions("path", "value")
@@ -274,212 +245,231 @@ def _named(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by a checked similarity: SimHash and then shared shingles find candidates, whole sets of shingles decide.
+# Near-duplicates by a checked similarity. A screen leaves the texts that could have a similar one; the SimHash index groups
+# most copies among these; shared rare shingles lead to what it leaves apart. Whole sets of shingles decide, and no pair is lost.
 
 
-def word_fingerprints_of(texts: list[str | None], seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each text's words in order, and for each seed a fingerprint of its distinct words."""
-    import xxhash
-
-    node, fps = np.zeros(len(texts), np.uint64), np.zeros((len(texts), len(seeds)), np.uint64)
-    for k, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        node[k] = xxhash.xxh3_64_intdigest(b" ".join(words))
-        single = list(set(words))
-        for s, seed in enumerate(seeds if words else ()):
-            counts = np.zeros(64, np.int64)
-            for a in range(0, len(single), SHINGLES):
-                part = single[a : a + SHINGLES]
-                h = np.fromiter(map(xxhash.xxh64_intdigest, part, repeat(seed)), np.uint64, len(part))
-                counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            fps[k, s] = np.packbits(2 * counts > len(single), bitorder="little").view(np.uint64)[0]
-    return node, fps
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def shingles_of(text: str | None, width: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles (of fewer words: of the whole)."""
+def word_hashes(text: str | None) -> tuple[int, np.ndarray]:
+    """A signed 64-bit hash of a text's words in order, and the hash of each word."""
     import xxhash
 
     words = (text or "").encode().lower().split()
-    parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)))
+    node = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return node - (node >> 63 << 64), np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, s: the shingles of each text asked for (_rep, an id of rows that has it; _node, its hash), once."""
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles (of fewer words: of the whole), from the words' hashes."""
+    width = min(width, len(words))
+    out = np.full(max(1, len(words) - width + 1), width + 1, np.uint64)
+    for k in range(width):
+        out = _mixed((out * np.uint64(0x9E3779B97F4A7C15)) ^ words[k : len(words) - width + 1 + k])
+    return np.unique(out)
 
-    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, nodes = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            mine = word_fingerprints_of(texts, ())[0].view(np.int64) == nodes  # rows that share an id may hold other texts
-            sets = [shingles_of(texts[k], width).tobytes() for k in np.flatnonzero(mine)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[mine]), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_rep")).select("text", "_node")
-    return written(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]), "shingles")
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    return shingle_hashes(word_hashes(text)[1], width)
 
 
-def decided(rows: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose shingles are similar."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = sets_of(rows, classes.join(asked, "node", "left_semi").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), width)
+def word_fingerprint(words: np.ndarray, seed: int = 1) -> int:
+    """A signed 64-bit fingerprint of the distinct words: a word counts once, however often it occurs."""
+    single = np.unique(words)
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(single), SHINGLES):
+        h = _mixed(_mixed(single[a : a + SHINGLES] + np.uint64(seed)))
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(single), bitorder="little").view(np.int64)[0])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(decide, "u long, v long")
+def least_common(n, similarity: float):
+    """How many of n shingles a text has in common with any that is similar."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def frequent(rows: DataFrame, printed: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of SAMPLE texts hold, sorted, and in how many: they come last in prefixes, which saves work and changes no result."""
-    sample = printed.groupBy("node").agg(F.min("doc_id").alias("_rep")).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("_rep", F.col("node").alias("_node"))
+_CHUNK = "doc_id long, node long, chunk long, bucket int, owners binary, hashes binary"
+
+
+def _chunked(rows: DataFrame, width: int, bits: int, wide: bool) -> DataFrame:
+    """Three kinds of rows, from one pass over the texts. Without a bucket: doc_id and node of each row. In bucket -1: the
+    nodes (hashes) and numbers of shingles (owners) of the distinct texts of a chunk of CHUNK shingles. In any other: the
+    chunk's shingles in this bucket (hashes), text by text, and each one's text less that of the one before (owners)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in _CHUNK.split(", ")]
+    kept = np.uint32 if not wide else np.uint64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 32, 0
+        nodes: dict[int, None] = {}
+        sets: list[np.ndarray] = []
+        size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(s) for s in sets], np.uint32)
+            h = np.concatenate(sets)
+            bucket = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            low = h if wide else (h >> np.uint64(32 - bits)).astype(np.uint32)
+            low, owner = low[order].astype(kept), np.repeat(np.arange(len(sets)), sizes)[order]
+            ends = np.cumsum(np.bincount(bucket, minlength=1 << bits))
+            out = [(first + done, -1, sizes.tobytes(), np.array(list(nodes), np.int64).tobytes())]
+            for b, (i, j) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
+                if i < j:
+                    out.append((first + done, b, np.diff(owner[i:j], prepend=0).astype(np.uint32).tobytes(), low[i:j].tobytes()))
+            for a in range(0, len(out), 64):
+                columns = list(zip(*out[a : a + 64]))
+                none = [None] * len(columns[0])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, *columns), kinds)], names=names)
+
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(text.as_py(), width).view(np.int64))], names=["h"])
+            mine = []
+            for text in batch.column(1):
+                node, words = word_hashes(text.as_py())
+                mine.append(node)
+                if node not in nodes:
+                    nodes[node] = None
+                    sets.append(shingle_hashes(words, width))
+                    size += len(sets[-1])
+                if size >= CHUNK:
+                    yield from close()
+                    nodes, sets, size, done = {}, [], 0, done + 1
+            none = [pa.nulls(len(mine), k) for k in kinds[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine, pa.int64()), *none], names=names)
+        if sets:
+            yield from close()
+
+    return rows.mapInArrow(run, _CHUNK)
+
+
+def screened(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node of each row; and the nodes of the texts of whose shingles so many occur in other texts (or in copies)
+    that one could be similar. Shingles go to buckets by their hash, as blocks of bytes; a shingle is in a chunk's block once
+    for each text of the chunk, and the number of buckets grows with the texts, so that no bucket is large."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6 + 1  # shingles, about
+    bits = min(24, max(3, (total // CHUNK).bit_length()))
+    wide = total >> (bits + 24) > 0  # else the hash's first 32 bits after the bucket's make few shingles the same
+    kept = np.uint64 if wide else np.uint32
+    chunks = written(_chunked(rows, width, bits, wide), "shingle-blocks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            sizes = [len(h) for _, _, h in held]
+            h = np.concatenate([h for _, _, h in held])
+            order = np.argsort(h)
+            same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+            shared = np.zeros(len(h), bool)
+            shared[order[same]] = shared[order[same + 1]] = True
+            found, at = [], 0
+            for (_, owners, _), n in zip(held, sizes):
+                text, many = np.unique(owners[shared[at : at + n]], return_counts=True)
+                found.append(np.stack((text, many)).astype(np.uint32).tobytes())
+                at += n
+            return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array(found, pa.binary())], names=["chunk", "owners"])
 
-    texts = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_rep")).select("text")
-    found = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if (b := batch.column(0)[k].as_py()) != now and held:
+                    yield close()
+                    held = []
+                now = b
+                held.append((batch.column(1)[k].as_py(), np.cumsum(np.frombuffer(batch.column(2)[k].as_py(), np.uint32), dtype=np.int64), np.frombuffer(batch.column(3)[k].as_py(), kept)))
+        if held:
+            yield close()
 
+    def total_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, many, nodes, sizes = None, [], [], None, None
+        for batch in _then_none(batches):
+            for k in range(1 if batch is None else batch.num_rows):
+                chunk = None if batch is None else batch.column(0)[k].as_py()
+                if chunk != now and now is not None:
+                    sums = np.bincount(np.concatenate(texts), np.concatenate(many), len(nodes)) if texts else np.zeros(len(nodes))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[sums >= least_common(sizes, similarity)])], names=["node"])
+                    texts, many = [], []
+                now = chunk
+                if batch is None:
+                    continue
+                counts = np.frombuffer(batch.column(1)[k].as_py(), np.uint32)
+                if (names := batch.column(2)[k].as_py()) is not None:
+                    nodes, sizes = np.frombuffer(names, np.int64), counts
+                else:
+                    texts.append(counts[: len(counts) // 2])
+                    many.append(counts[len(counts) // 2 :])
+
+    blocks = chunks.where("bucket >= 0").select("bucket", "chunk", "owners", "hashes")
+    shares = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "chunk long, owners binary").select("*", F.lit(None).cast("binary").alias("nodes"))
+    heads = chunks.where("bucket = -1").select("chunk", "owners", F.col("hashes").alias("nodes"))
+    both = shares.unionByName(heads).repartition("chunk").sortWithinPartitions("chunk")
+    left = written(both.mapInArrow(total_of, "node long").distinct(), "screened")
+    printed = written(chunks.where("bucket is null").select("doc_id", "node"), "word-prints")
+    discard(chunks)
+    return printed, left
 
-def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The first shingles in one order for all texts (rare ones first), so many that two similar texts have one in common."""
-    n = len(shingles)
-    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
-    rank = np.where(common[at] == shingles, often[at], 0) if len(common) else np.zeros(n, np.int64)
-    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
+def sets_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, n, fp, s: number and hashes of the shingles of each text asked for (_rep, an id of rows that has it; _node, its hash), once, and its words' fingerprint."""
 
-def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut where the first ``keys`` columns change, so that no key is divided."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in _then_none(batches):
-        if batch is not None:
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            size += batch.num_rows
-            if size < SHINGLES:
-                continue
-        if not size:
-            continue
-        columns = [np.concatenate(x) for x in zip(*held)]
-        cut = size
-        if batch is not None:
-            last = np.flatnonzero(np.any([c != c[-1] for c in columns[:keys]], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield [c[:cut] for c in columns]
-        held, size = [[c[cut:] for c in columns]], size - cut
-
-
-def listed(rows: DataFrame, grouped: DataFrame, printed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v, many: pairs of different groups that share a shingle of their prefixes (all similar pairs do) and whose
-    numbers of shingles allow the similarity. For a shingle of over GROUP texts, each of them with the first (many)."""
-    common, often = frequent(rows, printed, width)
-    shared = rows.sparkSession.sparkContext.broadcast((common, often))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            nodes, h, size = word_fingerprints_of(texts, ())[0].view(np.int64), [], []
-            own = []
-            for node, text in zip(nodes.tolist(), texts):
-                if node not in seen:
-                    seen.add(node)
-                    s = shingles_of(text, width)
-                    h.append(prefix_of(s, similarity, *shared.value))
-                    size.append(len(s))
-                    own.append(node)
-            times = [len(x) for x in h]
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(own, times)), pa.array(np.repeat(size, times).astype(np.int32))], names=["h", "node", "n"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node, n in _whole(batches, 1):
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-            h, node, n = h[new], node[new], n[new]
-            with_next = np.append(h[1:] == h[:-1], False)
-            keep = with_next | np.concatenate(([False], with_next[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(node[keep]), pa.array(n[keep])], names=["h", "node", "n"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node, n, group in _whole(batches, 1):
-            begin = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
-            size = np.diff(np.append(begin, len(h)))
-            mixed = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
-            many = np.repeat(mixed & (size > GROUP), size)
-            few = np.repeat(mixed & (size <= GROUP), size)
-            u, v = [node[many]], [np.repeat(node[begin], size)[many]]
-            total = len(u[0])
-            for step in range(1, min(GROUP, len(h))):
-                near = few[step:] & (h[step:] == h[:-step]) & (group[step:] != group[:-step])
-                a, b = n[step:], n[:-step]
-                near &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-                u.append(node[step:][near])
-                v.append(node[:-step][near])
-            both = np.unique(np.stack((np.concatenate(u[1:] or [node[:0]]), np.concatenate(v[1:] or [node[:0]]))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u[0], both[0]))), pa.array(np.concatenate((v[0], both[1]))), pa.array(np.arange(total + both.shape[1]) < total)], names=["u", "v", "many"])
-
-    entries = rows.select("text").mapInArrow(cut, "h long, node long, n int").repartition("h").sortWithinPartitions("h", "node")
-    met = written(entries.mapInArrow(several, "h long, node long, n int"), "prefixes")
-    lists = met.join(grouped.select("node", "group"), "node").select("h", "node", "n", "group").repartition("h").sortWithinPartitions("h", "node")
-    return written(lists.mapInArrow(pair, "u long, v long, many boolean").distinct(), "pairs")
+            found = []
+            for text, node in zip(batch.column(0), batch.column(1).to_pylist()):
+                mine, words = word_hashes(text.as_py())
+                if mine == node:  # rows that share an id may hold other texts
+                    s = shingle_hashes(words, width)
+                    found.append((node, len(s), word_fingerprint(words), s.tobytes()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "n", "fp", "s"])
+
+    texts = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_rep")).select("text", "_node")
+    return written(texts.mapInArrow(shingle, "node long, n int, fp long, s binary").dropDuplicates(["node"]), "shingles")
 
 
 def merged(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> np.ndarray:
-    """A label of each text: texts of a group, and those joined by similar sets, share one. Exact: each text outside the
-    largest group is compared with all others, those that share most first, so that one original soon joins its copies."""
+    """A label of each text: texts of a group, and those joined by similar sets, share one. Exact: each text that ends outside
+    the largest label is compared with all others, those that share most first, so that one original soon joins its copies."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), size)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     by = owner[np.argsort(token, kind="stable")]
-    ends = np.cumsum(np.bincount(token))
-    begins = ends - np.bincount(token)
+    often = np.bincount(token)
+    ends = np.cumsum(often)
+    begins = ends - often
     first = np.cumsum(size) - size
-    _, label, count = np.unique(group, return_inverse=True, return_counts=True)
-    label = label.copy()
-    largest = int(np.flatnonzero(label == np.argmax(count))[0])
-    for k in np.argsort(-np.bincount(owner, (ends - begins)[token], n), kind="stable"):
-        if label[k] == label[largest]:
-            continue
+    label = np.unique(group, return_inverse=True)[1]
+    order = np.argsort(-np.bincount(owner, often[token], n), kind="stable")
+    left = np.ones(n, bool)
+    while True:
+        rest = order[left[order] & (label[order] != np.argmax(np.bincount(label)))]
+        if not len(rest):
+            return label
+        k = rest[0]
+        left[k] = False
         own = token[first[k] : first[k] + size[k]]
-        own = own[ends[own] - begins[own] > 1]
+        own = own[often[own] > 1]
         both = np.zeros(n, np.int64)
-        reach = np.cumsum(ends[own] - begins[own])
+        reach = np.cumsum(often[own])
         for part in np.split(own, np.flatnonzero(np.diff(reach // PAIRS)) + 1):
             if len(part):
-                long = ends[part] - begins[part]
-                both += np.bincount(by[np.repeat(begins[part] - np.cumsum(long) + long, long) + np.arange(long.sum())], minlength=n)
-        near = both >= similarity * (size[k] + size - both)
-        near &= label != label[k]
+                both += np.bincount(by[np.repeat(begins[part] - np.cumsum(often[part]) + often[part], often[part]) + np.arange(often[part].sum())], minlength=n)
+        near = (both >= similarity * (size[k] + size - both)) & (label != label[k])
         if near.any():
             label[np.isin(label, label[near])] = label[k]
-    return label
 
 
-def crowded(rows: DataFrame, grouped: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: links between the similar texts of what ``found`` joins, each of its components in pairs of blocks of BLOCK shingles."""
-    parts = components(found)
-    members = written(parts.join(grouped, "node").select("node", "rep", "group", F.col("component").alias("part")), "crowds")
-    sets = sets_of(rows, members.select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), width)
-    sizes = sets.select("node", F.length("s").alias("bytes")).join(members, "node")
+def confirmed(sets: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """members: node, group, part. u, v: links that join, in each part, the texts of a group and the similar ones.
+
+    A part is cut into blocks of BLOCK shingles, and each two of its blocks meet in one row of a shuffle."""
+    sized = sets.select("node", "n").join(members, "node")
     ahead = Window.partitionBy("part").orderBy("group", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = written(sizes.withColumn("block", F.floor(F.sum("bytes").over(ahead) / (8 * BLOCK))), "blocks")
-    last = placed.groupBy("part").agg(F.max("block").alias("last"))
+    placed = written(sized.withColumn("block", F.floor(F.sum("n").over(ahead) / BLOCK)), "blocks")
+    last = placed.groupBy("part").agg(F.max("block").alias("last"), F.count("*").alias("texts")).where("texts > 1")
     other = placed.join(last, "part").select("node", "group", "part", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("with"))
     tasks = other.select("node", "group", "part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
 
@@ -501,49 +491,88 @@ def crowded(rows: DataFrame, grouped: DataFrame, found: DataFrame, width: int, s
                     held.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
 
     near = tasks.join(sets, "node").select("part", "i", "j", "node", "group", "s").repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    return near.mapInArrow(run, "u long, v long")
+    return near.mapInArrow(run, "u long, v long").where("u <> v")
+
 
+def by_fingerprint(sets: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """node, group: similar texts among those that fingerprints within ``distance`` connect. Equal fingerprints are one entry of the index."""
+    first = F.min("node").over(Window.partitionBy("fp"))
+    held = written(sets.select("node", "fp", first.alias("rep")), "prints")
+    near = links(held.where("node = rep").select("fp", "rep"), distance)
+    parts = components(near.unionByName(held.where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))))
+    members = parts.select("node", F.col("node").alias("group"), F.col("component").alias("part"))
+    groups = components(confirmed(sets, members, similarity))
+    return written(held.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group")), "groups")
 
-def regrouped(rows: DataFrame, classes: DataFrame, grouped: DataFrame, printed: DataFrame, width: int, similarity: float) -> DataFrame:
-    """grouped, with the groups joined that hold similar texts."""
-    met = listed(rows, grouped, printed, width, similarity)
-    edges = decided(rows, classes, met.where("not many").select("u", "v"), width, similarity)
-    if (many := met.where("many").select("u", "v")).head(1):
-        edges = edges.unionByName(crowded(rows, grouped, many, width, similarity))
-    groups = components(edges.unionByName(grouped.select(F.col("node").alias("u"), F.col("group").alias("v"))))
-    return grouped.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group"))
 
+def frequent(sets: DataFrame) -> np.ndarray:
+    """Shingles, sorted, that over a hundredth of a sample of SAMPLE texts hold: they come last in prefixes, which spares a
+    task for each and changes no result. Each text of the sample adds at most a hundredth of its shingles to the list's bound."""
+    sample = sets.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("s")
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4), id_col: str = "doc_id", text_col: str = "text", complete: bool = False) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_buffer(), np.int64))], names=["h"])
+
+    found = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("held")).where(F.col("held") > SAMPLE // 100).select("h").collect()
+    return np.sort(np.array([r.h for r in found], np.int64))
+
+
+def by_shingles(sets: DataFrame, grouped: DataFrame, similarity: float) -> DataFrame:
+    """node, group, part: the texts of different groups that share one of their rarest shingles, and what these connect.
+
+    Of a text's n shingles a similar one lacks at most n - least_common(n). All that no other text holds are among those;
+    so, in an order in which rare ones come first, is not the whole of the next so many: two similar texts share one of them."""
+    common = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, group, s in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3)):
+                h = np.frombuffer(s.as_buffer(), np.int64)
+                usual = np.isin(h, common.value)
+                columns = [pa.array(h), *[pa.array(np.full(n, x)) for x in (node, group)], pa.array(np.full(n, n, np.int32)), pa.array(usual)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "node", "group", "n", "usual"])
+
+    entries = sets.join(grouped, "node").select("node", "n", "group", "s").mapInArrow(spread, "h long, node long, group long, n int, usual boolean")
+    entries = written(entries, "entries")
+    held = entries.where("not usual").withColumn("held", F.count("*").over(Window.partitionBy("h"))).where("held > 1").drop("usual")
+    usual = entries.where("usual").drop("usual").withColumn("held", F.lit((1 << 62)).cast("long"))
+    own = Window.partitionBy("node")
+    ranked = held.unionByName(usual).withColumn("m", F.count("*").over(own)).withColumn("k", F.row_number().over(own.orderBy("held", "h")))
+    need = F.ceil(F.col("n") * similarity - 1e-9)
+    met = written(ranked.where(F.col("k") <= F.col("m") - need + 1).select("h", "node", "group"), "prefixes")
+    discard(entries)
+    several = met.groupBy("h").agg(F.min("group").alias("one"), F.max("group").alias("other")).where("one <> other").select("h", "one")
+    shared = written(met.join(several, "h").select("node", "group", "one").distinct(), "meetings")
+    parts = components(shared.select(F.col("group").alias("u"), F.col("one").alias("v")))
+    return shared.select("node", "group").distinct().join(parts, parts.node == shared.group).select(shared.node, "group", F.col("component").alias("part"))
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id, one row each of docs: texts of equal words, or linked by a Jaccard similarity of their
-    shingles of at least this, are one component, named by its smallest doc_id.
+    shingles of at least this, are one component, named by its smallest doc_id. No such link is missed.
 
-    First, texts whose fingerprints (of distinct words, one for each seed) differ in at most ``distance`` bits are
-    compared: that joins most copies at little cost, but not all. If ``complete``, texts of different groups that share
-    a shingle of their prefixes are then, which misses no similar pair; shingles that many texts share are taken in
-    blocks. Each pair is decided by the shingles of both whole texts. Rows with a null id must be left out before.
+    Texts of which enough shingles occur elsewhere are indexed by the fingerprint of their distinct words; those that
+    ``distance`` bits connect are compared. Then texts of different groups that share one of their rarest shingles are.
+    A null text has no words, as an empty one; texts of fewer words than ``width`` have one shingle. Repeated rows each get
+    a row. An empty table gives no rows. Other columns are not read. Rows with a null id must be left out before.
     """
     small_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(len(seeds))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, fps = word_fingerprints_of(batch.column(1).to_pylist(), seeds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, s]).view(np.int64)) for s in range(len(seeds))]], names=["doc_id", "node", *names])
-
-    printed = written(rows.mapInArrow(prints, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names)), "word-prints")
-    classes = written(printed.groupBy("node").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]), "text-classes")
-    found = None
-    for n in names:
-        pairs = links(classes.select(F.col(n).alias("fp"), F.col("node").alias("rep")), distance, True)
-        found = pairs if found is None else found.unionByName(pairs)
-    pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "candidates")
-    groups = components(decided(rows, classes, pairs, width, similarity))
-    grouped = written(classes.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("group")), "groups")
-    placed = regrouped(rows, classes, grouped, printed, width, similarity) if complete else grouped
-    first = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
-    return printed.join(placed.join(first, "group").select("node", "component_id"), "node").select("doc_id", "component_id")
+    printed, left = screened(rows, width, similarity)
+    classes = written(printed.groupBy("node").agg(F.min("doc_id").alias("rep")), "text-classes")
+    wanted = written(classes.join(left, "node", "left_semi").select(F.col("rep").alias("_rep"), F.col("node").alias("_node")), "wanted")
+    sets = sets_of(rows, wanted, width)
+    grouped = by_fingerprint(sets, distance, similarity)
+    members = written(by_shingles(sets, grouped, similarity), "members")
+    edges = confirmed(sets, members, similarity).unionByName(grouped.select(F.col("node").alias("u"), F.col("group").alias("v")))
+    groups = components(edges)
+    placed = written(classes.join(groups, "node").select("node", "rep", F.col("component").alias("group")), "placed")
+    discard(sets)
+    first = placed.groupBy("group").agg(F.min("rep").alias("first"))
+    named = classes.join(placed.join(first, "group").select("node", "first"), "node", "left").select("node", F.coalesce("first", "rep").alias("component_id"))
+    return printed.join(named, "node").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

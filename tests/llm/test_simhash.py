@@ -98,21 +98,17 @@ def test_near_duplicates(spark, monkeypatch, hot):
         assert (r.fingerprint, r.component_id) == want[100 if r.doc_id is None else r.doc_id]
 
 
-def slow_similar(texts, seeds=(1, 2, 3, 4), distance=4, width=5, least=0.8):
-    """Components by index: equal words, or fingerprints near for a seed and shingles similar."""
+def exact(texts, width=5, least=0.8):
+    """Components by index: all pairs of sets of shingles."""
     words = [(t or "").lower().split() for t in texts]
-    fps = [[0 if not w else sum(1 << k for k in range(64) if 2 * sum(xxhash.xxh64_intdigest(x.encode(), s) >> k & 1 for x in set(w)) > len(set(w))) for s in seeds] for w in words]
     sets = [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in words]
-    label = list(range(len(texts)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(texts)):
-            for j in range(i):
-                if label[i] != label[j] and (words[i] == words[j] or any((a ^ b).bit_count() <= distance for a, b in zip(fps[i], fps[j])) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
-                    label[i] = label[j] = min(label[i], label[j])
-                    changed = True
-    return label
+    i, j = [], []
+    for a in range(len(texts)):
+        for b in range(a):
+            if min(len(sets[a]), len(sets[b])) >= least * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                i.append(a)
+                j.append(b)
+    return rep_of(len(texts), np.array(i, int), np.array(j, int))
 
 
 @pytest.mark.parametrize("hot", [20_000, 3])
@@ -128,9 +124,9 @@ def test_similar(spark, monkeypatch, hot):
     texts += ["", None, " \n", "two words", "words two", "Two  WORDS"]
     rows = [(int(k) + 100, t) for k, t in enumerate(texts)][::-1] + [(100, texts[0]), (101, "another text under a used id"), (None, texts[0]), (None, texts[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as rep", "3 as _rows")
-    label = slow_similar(texts)
+    label = exact(texts)
     got = {r.doc_id: r.component_id for r in simhash.similar(df.where("doc_id <> 101")).collect()}
-    want = {k + 100: c + 100 for k, c in enumerate(slow_similar([t for k, t in enumerate(texts) if k != 1]))}
+    want = {k + 100: c + 100 for k, c in enumerate(exact([t for k, t in enumerate(texts) if k != 1]))}
     assert len(set(label)) < len(texts) - 20
     shift = lambda i: i if i == 100 else i + 1  # noqa: E731  (without row 101)
     assert got == {shift(i): shift(c) for i, c in want.items()}
@@ -140,14 +136,6 @@ def test_similar(spark, monkeypatch, hot):
     assert kept.where("doc_id is null").count() == 1
 
 
-def test_large_groups_stay_joined():
-    rnd = np.random.default_rng(0)
-    fp = np.array([int(rnd.integers(0, 4)) << int(rnd.integers(0, 8)) for _ in range(900)], np.uint64)
-    i, j = simhash.linked(np.zeros(900, np.int64), fp, 4)
-    a, b = simhash.pairs_of(fp, i, j, 4)
-    assert rep_of(900, a, b) == rep_of(900, i, j) and len(a) < 900 * simhash.GROUP
-
-
 def test_nameless_rows_bridge(spark):
     a, b = slow_fingerprint("a b c"), slow_fingerprint("d e f")
     df = spark.createDataFrame([(None, "a b c"), (3, "d e f"), (9, "d e f")], "doc_id long, text string")
@@ -166,20 +154,6 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 200: 100, 300: 100}
 
 
-def exact(texts, width=5, least=0.8):
-    """Components by index over all pairs of similar shingles, without a rule for candidates."""
-    sets = [simhash.shingles_of(t, width) for t in texts]
-    i, j = [], []
-    for a in range(len(texts)):
-        for b in range(a):
-            if least <= min(len(sets[a]), len(sets[b])) / max(len(sets[a]), len(sets[b])):
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both >= least * (len(sets[a]) + len(sets[b]) - both):
-                    i.append(a)
-                    j.append(b)
-    return rep_of(len(texts), np.array(i, int), np.array(j, int))
-
-
 def test_similar_finds_appended_passages(spark):
     rnd = np.random.default_rng(3)
     texts = [" ".join(f"w{k}" for k in rnd.integers(0, 9000, rnd.integers(90, 160))) for _ in range(40)]
@@ -190,7 +164,7 @@ def test_similar_finds_appended_passages(spark):
     want = exact(texts)
     assert len(set(want)) < 60
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.similar(df, complete=True).collect()} == dict(enumerate(want))
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == dict(enumerate(want))
 
 
 @pytest.mark.parametrize("block", [1_000_000, 60_000])
@@ -209,7 +183,7 @@ def test_similar_joins_a_star(spark, monkeypatch, block):
     near = [len(np.intersect1d(s, sets[0])) >= 0.8 * len(np.union1d(s, sets[0])) for s in sets]
     assert sum(near) > 990
     ids = [(1500 - k if k else 2000, t) for k, t in enumerate(texts)]
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(ids, "doc_id long, text string"), complete=True).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(ids, "doc_id long, text string")).collect()}
     assert len({got[i] for (i, _), n in zip(ids, near) if n}) == 1
 
 
@@ -220,3 +194,49 @@ def test_merged_is_exact():
     want = rep_of(150, np.array(i), np.array(j))
     label = simhash.merged(sets, np.arange(150), 0.6)
     assert len(set(want)) == len(set(zip(want, label.tolist()))) == len(set(label.tolist())) < 150
+
+
+def test_dense_group_of_one_vocabulary(spark):
+    """Texts of the same words in other orders: the words' fingerprints can't tell which are similar."""
+    rnd = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(rnd.permutation(words)) for _ in range(150)]
+    for k in range(40):
+        w = texts[k].split()
+        at = int(rnd.integers(20, 100))
+        texts.append(" ".join([*w[:at], w[at + 1], w[at], *w[at + 2 :]]))
+    want = exact(texts)
+    assert len(set(want)) == 150
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("chunk, block, sample", [(2_000_000, 1_000_000, 4000), (500, 900, 40), (1, 1, 1)])
+def test_shared_passages(spark, monkeypatch, chunk, block, sample):
+    """Passages that many texts share, texts made of these alone, and texts on both sides of the similarity asked for."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    rnd = np.random.default_rng(12)
+    new = lambda n: [f"w{k}" for k in rnd.integers(0, 3000, n)]
+    passages = [new(60) for _ in range(4)]
+    texts = [" ".join([*new(rnd.integers(10, 80)), *passages[k % 4], *new(rnd.integers(0, 40))]) for k in range(90)]
+    texts += [" ".join(passages[a] + passages[b]) for a in range(4) for b in range(4)] + [" ".join(p) for p in passages] * 2
+    for k in range(60):
+        w = texts[int(rnd.integers(90))].split()
+        for _ in range(rnd.integers(1, 6)):
+            w[rnd.integers(len(w))] = "edited"
+        texts.append(" ".join(w[: int(len(w) * rnd.uniform(0.8, 1))]))
+    want = exact(texts)
+    assert 90 < len(set(want)) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == dict(enumerate(want))
+
+
+def test_many_texts_of_one_fingerprint(spark):
+    """All of the same words, so of one fingerprint: one entry of the index, whatever their number."""
+    words = [f"w{k}" for k in range(40)]
+    rnd = np.random.default_rng(13)
+    texts = [(k, " ".join(rnd.permutation(words))) for k in range(3000)]
+    got = simhash.similar(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got.where("doc_id = component_id").count() == 3000
