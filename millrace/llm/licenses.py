@@ -4,14 +4,18 @@ A text's words are aligned with each template's: equal words at both ends are ma
 occur once in both are anchors, of which the longest run in rising order in both is taken, and the gaps
 between anchors are aligned in the same way. Coverage is matched words / words of the template.
 
-Where a template could lie is found first, and exactly: a stretch that covers the asked-for share of a
-template lacks at most a known number of its words, so it holds one of any set of more words than
-that; the set of words rarest over all templates serves. Each place of such a word puts the template
-at one place of the text, give or take a quarter of its length; only there is it aligned. All places
-are looked at, in whole texts.
+What can't be there is ruled out first, and exactly: a text that covers the asked-for share of a
+template has that many of its words, as often as the template has them. Of a text that has them, a
+template of at least LINE words is aligned with the whole, however far apart its words stand, and
+with each stretch around one of its rarest words, for texts that hold it more than once. A shorter
+one is a notice of one line, whose words anywhere in a long text would mean nothing: it is aligned
+with all stretches of its length and a quarter (two words at least) on each side. Every stretch that
+covers enough holds one of any set of more words than it may lack, so only those near the rarest
+words are looked at. The best place counts: of equal coverage the narrowest, then the first.
 
 Words are runs of other than blanks and ASCII punctuation, in lower case. Nulls: a null text has no
-words, a null id is kept. Repeated rows are scanned each. An empty table gives no rows.
+words, a null id is kept. Repeated rows are scanned each. An empty table gives no rows. Texts are
+scanned whole, however long. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
+#: Words of a template from which on it is sought in whole texts.
+LINE = 24
 _BREAKS = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", " "))
 
 #: Public notices and texts, by SPDX-like name. Placeholders for names and years are left out.
@@ -98,39 +104,55 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
         self.templates = {name: words_of(text) for name, text in sorted(templates.items())}
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.need = {name: max(1, -int(-coverage * len(words) // 1)) for name, words in self.templates.items()}
         common = Counter(w for words in self.templates.values() for w in words)
-        self.starts: dict[str, list[tuple[str, int]]] = {}
+        self.starts: dict[str, dict[str, list[int]]] = {}
         for name, words in self.templates.items():
-            lacking = len(words) - max(1, -int(-coverage * len(words) // 1))
-            for k in sorted(range(len(words)), key=lambda k: (common[words[k]], k))[: lacking + 1]:
-                self.starts.setdefault(words[k], []).append((name, k))
+            for k in sorted(range(len(words)), key=lambda k: (common[words[k]], k))[: len(words) - self.need[name] + 1]:
+                self.starts.setdefault(words[k], {}).setdefault(name, []).append(k)
         self.words = frozenset(self.starts)
 
+    def stretches(self, words: list[str], name: str) -> Iterator[tuple[int, int]]:
+        t, n = len(self.templates[name]), len(words)
+        slack = max(2, t // 4)
+        if t >= LINE:
+            yield 0, n
+        rare = {w: places[name] for w, places in self.starts.items() if name in places}
+        tried: set[int] = set()
+        for p, word in enumerate(words):
+            if word in rare:
+                for o in (p - k for k in rare[word]) if t >= LINE else range(p - t - slack + 1, p + slack + 1):
+                    if o not in tried:
+                        tried.add(o)
+                        yield max(0, o - slack), min(n, o + t + slack)
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first word, last word) of each template found, at its best place."""
         words = words_of(text)
         if self.words.isdisjoint(words):
             return []
-        best: dict[str, tuple] = {}
-        tried: set[tuple[str, int]] = set()
-        for p, word in enumerate(words):
-            for name, k in self.starts.get(word, ()):
-                t = self.templates[name]
-                slack = max(2, len(t) // 4)
-                if (name, p - k) in tried:
-                    continue
-                tried.add((name, p - k))
-                low = max(0, p - k - slack)
-                pairs = align(words[low : p - k + len(t) + slack], t)
-                if pairs and len(pairs) >= self.coverage * len(t):
-                    rank = (len(pairs) / len(t), -(pairs[-1][0] - pairs[0][0]), -(low + pairs[0][0]))
-                    if name not in best or rank > best[name][0]:
-                        best[name] = rank, (name, len(pairs) / len(t), len(pairs), low + pairs[0][0], low + pairs[-1][0])
-        return [best[name][1] for name in sorted(best)]
+        held = Counter(words)
+        found = []
+        for name, t in self.templates.items():
+            if not t or sum(min(held[w], n) for w, n in self.counts[name].items()) < self.need[name]:
+                continue
+            best = None
+            for low, high in self.stretches(words, name):
+                if high - low >= self.need[name]:
+                    pairs = align(words[low:high], t)
+                    if len(pairs) >= self.need[name]:
+                        rank = (len(pairs), pairs[0][0] - pairs[-1][0], -(low + pairs[0][0]), low + pairs[-1][0])
+                        best = rank if best is None else max(best, rank)
+            if best:
+                found.append((name, best[0] / len(t), best[0], -best[2], best[3]))
+        return found
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id and matches, an array of (license, coverage, matched, first_word, last_word) by name."""
+    """One row a document: doc_id and matches, an array of (license, coverage, matched, first_word, last_word) by name.
+
+    Nulls, repeated rows and empty tables: as said at the top; a text without a match has an empty array."""
     if not 0 < coverage <= 1:
         raise ValueError("coverage must be in (0, 1]")
     small_batches(docs.sparkSession)

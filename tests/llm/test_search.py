@@ -117,6 +117,56 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def slow_licenses(text, coverage=0.8):
+    """Every template against the whole text, or, of a notice, against each stretch of the text."""
+    words, found = licenses.words_of(text), {}
+    for name, template in licenses.TEMPLATES.items():
+        t = licenses.words_of(template)
+        slack = max(2, len(t) // 4)
+        places = [(0, len(words))] if len(t) >= licenses.LINE else [(max(0, o - slack), o + len(t) + slack) for o in range(-len(t) - slack, len(words) + slack)]
+        most = max(len(licenses.align(words[a:b], t)) for a, b in places)
+        if most >= coverage * len(t):
+            found[name] = most
+    return found
+
+
+def test_scan_loses_nothing():
+    rnd = np.random.default_rng(2)
+    filler = [f"w{k}" for k in range(500)]
+    mit, texts = licenses.TEMPLATES["MIT"].split(), []
+    for gap in (0, 30, 60, 100, 2000):
+        at = len(mit) // 3
+        texts.append(" ".join(["the software"] * 20 + mit[:at] + list(rnd.choice(filler, gap)) + mit[at:]))
+    for name, template in licenses.TEMPLATES.items():
+        for _ in range(12):
+            words = template.split()
+            for _ in range(rnd.integers(0, 1 + len(words) // 4)):
+                at = int(rnd.integers(len(words)))
+                words[at : at + int(rnd.integers(0, 2))] = list(rnd.choice(filler + ["license", "the", "under"], rnd.integers(0, 3)))
+            texts.append(" ".join([*rnd.choice(filler, 30), *words, *rnd.choice(["the", "license", "of", "copyright"], 20), *template.split()[: int(rnd.integers(len(words) + 1))]]))
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    hits = 0
+    for k, text in enumerate(texts):
+        got = {m[0]: m[2] for m in scanner.scan(text)}
+        for name, most in slow_licenses(text).items():
+            assert got.get(name, 0) >= most, (k, name)
+            hits += 1
+        for name, share, matched, first, last in scanner.scan(text):
+            assert share == matched / len(licenses.words_of(licenses.TEMPLATES[name])) >= 0.8 and first + matched - 1 <= last
+    assert hits > 80
+    for text in texts[:5]:
+        assert ("MIT", 1.0) in [m[:2] for m in scanner.scan(text)]
+
+
+def test_scan_of_the_table(spark):
+    """Each template with each whole text of the smallest table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: {m.license: m.matched for m in r.matches} for r in licenses.scan(docs).collect()}
+    for r in docs.collect():
+        want = slow_licenses(r.text)
+        assert all(got[r.doc_id].get(name, 0) >= most for name, most in want.items()) and set(want) <= set(got[r.doc_id])
+
+
 RATE = 11025
 
 
