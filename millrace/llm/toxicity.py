@@ -10,7 +10,7 @@ A fifth of the sample, not trained on, places the threshold where recall² / pre
 greatest, which needs no negatives; the scores are scaled so that it lies at THRESHOLD.
 
 The sample is the only bounded thing: at most SAMPLE labelled rows, the first by a hash of their id.
-All words of these are learned from; everything else reads all rows. Scores come from the text alone:
+All words of these are learned from, as features made by the executors; everything else reads all rows. Scores come from the text alone:
 labels, lang, source and doc_id are never inputs.
 
 Nulls: a null text is scored as empty; labels that are null or whose id is null are not used; a
@@ -86,24 +86,38 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, steps: int = STEPS, seed: int = 7) -> Model:
+def active_of(text: str | None) -> np.ndarray:
+    """The sorted distinct features of a text."""
+    return np.unique(np.fromiter((f for w in words_of(text) for f in features_of(w)), np.uint32))
+
+
+def slopes(g: np.ndarray, to_p: np.ndarray, to_u: np.ndarray, prior: float) -> np.ndarray:
+    """The derivative of the risk by each text's margin g, turned round where the part of the clean is negative.
+    to_p and to_u are a text's shares of the means over P and U."""
+    up = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # the slope of the loss of calling it clean
+    clean = float(to_u @ np.logaddexp(0, g) - prior * (to_p @ np.logaddexp(0, g)))
+    slope = to_u * up - prior * to_p * up
+    return prior * to_p * (up - 1) + slope if clean >= 0 else -slope
+
+
+def train(texts: list[str | None], toxic: np.ndarray, **how) -> Model:
     """Fits a model; toxic marks the confirmed examples."""
+    return train_features([active_of(text) for text in texts], toxic, **how)
+
+
+def train_features(rows: list[np.ndarray], toxic: np.ndarray, least: int = LEAST, steps: int = STEPS, seed: int = 7) -> Model:
+    """Fits a model to the features of texts."""
     toxic = np.asarray(toxic, bool)
     if not toxic.any():
         return Model({}, 0.0, 0.0, 0.0)
-    rows, owner = [], []
-    for k, text in enumerate(texts):
-        words = words_of(text)
-        f = np.unique(np.fromiter((f for w in words for f in features_of(w)), np.uint32))
-        rows.append(f)
-        owner.append(np.full(len(f), k, np.int32))
-    hashes, owner = np.concatenate(rows), np.concatenate(owner)
+    total = len(rows)
+    hashes, owner = np.concatenate(rows), np.repeat(np.arange(total, dtype=np.int32), [len(f) for f in rows])
     names, column, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     kept = counts >= min(least, max(1, int(toxic.sum()) // 4))
     number = np.cumsum(kept) - 1
     use = kept[column]
     names, column, owner = names[kept], number[column[use]], owner[use]
-    inner = np.random.default_rng(seed).random(len(texts)) < 0.2
+    inner = np.random.default_rng(seed).random(total) < 0.2
     if toxic[inner].sum() < 10 or toxic[~inner].sum() < 10:
         inner[:] = False
     positive, unlabelled = toxic & ~inner, ~inner
@@ -113,14 +127,10 @@ def train(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, steps:
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
 
     def margins() -> np.ndarray:
-        return np.bincount(owner, w[column], len(texts)) + bias
+        return np.bincount(owner, w[column], total) + bias
 
     for t in range(1, steps + 1):
-        g = margins()
-        up = 1 / (1 + np.exp(-np.clip(g, -40, 40)))  # the slope of the loss of calling it clean
-        clean = float(to_u @ np.logaddexp(0, g) - prior * (to_p @ np.logaddexp(0, g)))
-        slope = to_u * up - prior * to_p * up
-        slope = prior * to_p * (up - 1) + slope if clean >= 0 else -slope
+        slope = slopes(margins(), to_p, to_u, prior)
         d, db = np.bincount(column, slope[owner], len(names)), slope.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * d, 0.99 * v + 0.01 * d * d, 0.9 * mb + 0.1 * db, 0.99 * vb + 0.01 * db * db
         size = RATE / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
@@ -128,7 +138,7 @@ def train(texts: list[str | None], toxic: np.ndarray, least: int = LEAST, steps:
         w = np.sign(w) * np.maximum(np.abs(w) - size * L1, 0)
         bias -= RATE * mb / (1 - 0.9**t) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-4)
     g = margins()
-    judge = inner if inner.any() else np.ones(len(texts), bool)
+    judge = inner if inner.any() else np.ones(total, bool)
     p, u = np.sort(g[judge & toxic]), np.sort(g[judge])
     cuts = np.unique(u)
     recall = 1 - np.searchsorted(p, cuts) / len(p)
@@ -147,9 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most sample rows of 12 bytes: safe to broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.max("_text").alias("_text")).orderBy("_id").toLocalIterator()
-    pairs = [(r["_text"], r["_toxic"]) for r in rows]
-    return train([t for t, _ in pairs], np.array([x > 0 for _, x in pairs], bool))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.max("_text").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [active_of(text.as_py()).tobytes() for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["id", "toxic", "found"])
+
+    small_batches(docs.sparkSession)
+    rows = rows.select("_id", F.col("_toxic").cast("long"), "_text").mapInArrow(run, "id long, toxic long, found binary")
+    # Texts stay where they are: the driver gets four bytes for each distinct feature of a row, partition by partition.
+    pairs = [(np.frombuffer(r["found"], np.uint32), r["toxic"]) for r in rows.orderBy("id").toLocalIterator()]
+    return train_features([f for f, _ in pairs], np.array([x > 0 for _, x in pairs], bool))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """op6: held-out accuracy on planted texts, and the defined edge cases."""
 
+import math
 import random
 import zlib
 
@@ -73,3 +74,45 @@ def test_all_words_of_long_texts_are_learned_from():
     toxic = np.arange(60) % 3 == 0
     scores = toxicity.train(texts, toxic).scores(texts, {})
     assert ((scores >= toxicity.THRESHOLD) == toxic).all()
+
+
+def test_gradient_is_that_of_the_risk():
+    """Against the risk written out text by text, and its finite differences by each weight."""
+    rnd = np.random.default_rng(1)
+    x = (rnd.random((14, 6)) < 0.4).astype(float)
+    toxic = np.array([1] * 4 + [0] * 10, bool)
+    prior, to_p, to_u = 0.7, toxic / 4, np.ones(14) / 14
+
+    def parts(w):
+        p = u = n = 0.0
+        for row, bad in zip(x, toxic):
+            g = sum(a * b for a, b in zip(row, w))
+            u += math.log1p(math.exp(g)) / 14
+            if bad:
+                p += math.log1p(math.exp(-g)) / 4
+                n += math.log1p(math.exp(g)) / 4
+        return prior * p, u - prior * n
+
+    seen = set()
+    for scale in (0.1, 1, 6):
+        for _ in range(12):
+            w = rnd.normal(size=6) * scale
+            w += scale * np.array([2.0, -1, 0, 0, 0, 0]) * rnd.integers(-3, 4)
+            positive, clean = parts(w)
+            seen.add(clean >= 0)
+            got = x.T @ toxicity.slopes(x @ w, to_p, to_u, prior)
+            for k in range(6):
+                up, down = (parts(w + s * 1e-6 * np.eye(6)[k]) for s in (1, -1))
+                want = (up[0] + up[1] - down[0] - down[1]) if clean >= 0 else -(up[1] - down[1])
+                assert abs(got[k] - want / 2e-6) < 1e-5
+    assert seen == {True, False}
+
+
+def test_scores_word_by_word():
+    rows = corpus(300)
+    model = toxicity.train([t for _, t, _ in rows], np.array([bad for _, _, bad in rows], bool))
+    for text in [t for _, t, _ in rows[:40]] + ["", None, "Vileword! GARDENS", "garden " * 50_000]:
+        words = {w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()}
+        active = {zlib.crc32(b"=" + w.encode()) for w in words} | {zlib.crc32(f"{n}{w[:n]}".encode()) for w in words if len(w) > 4 for n in (4, 5)}
+        margin = model.scale * (sum(model.weights.get(f, 0.0) for f in active) + model.bias - model.shift) + math.log(0.7 / 0.3)
+        assert abs(model.scores([text], {})[0] - 1 / (1 + math.exp(-max(-30, min(30, margin))))) < 1e-9
