@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,14 +21,30 @@ def _struct(schema: str | T.StructType) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+def _local(column: pa.Array, zone: str) -> pa.Array:
+    """Times without a zone, as they are in this zone; any other column as it is."""
+    return pc.local_timestamp(column.cast(pa.timestamp("us", zone))) if pa.types.is_timestamp(column.type) and column.type.tz else column
+
+
+#: Nullable pandas types of integers and booleans, which a float or an object column would not keep exact.
+_EXACT = {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}
+
+
+def _zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def filter_with(df: DataFrame, keep: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """Rows for which keep, given a batch, is true."""
+    """Rows for which keep, given a batch, is true. Integers and booleans with nulls come in pandas' nullable types, so they are exact."""
+    zone = _zone(df)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[keep(b).fillna(False).astype(bool)]
+            frame = pd.DataFrame({n: _local(c, zone).to_pandas(types_mapper=_EXACT.get if c.null_count else None) for n, c in zip(b.schema.names, b.columns)})
+            mask = keep(frame)
+            yield b.filter(pa.array(mask.astype("boolean").fillna(False).to_numpy(bool)))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def map_rows(df: DataFrame, body: Callable[[dict], tuple | None], schema: str | T.StructType, keep_all: bool = False) -> DataFrame:
@@ -36,27 +53,32 @@ def map_rows(df: DataFrame, body: Callable[[dict], tuple | None], schema: str |
 
 
 def flat_map_rows(df: DataFrame, body: Callable[[dict], list[tuple] | None], schema: str | T.StructType, keep_all: bool = False) -> DataFrame:
-    """body turns a row into any number of tuples; None or none drop the row."""
+    """body turns a row (plain Python values, None for null) into any number of tuples; None or none drop the row.
+
+    Old columns never leave Arrow, and new values must fit the types of schema."""
     new = _struct(schema)
     names = new.fieldNames()
     check_names([*(df.columns if keep_all else ()), *names])
     out = T.StructType([*(df.schema.fields if keep_all else ()), *new.fields])
+    zone = _zone(df)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(new).types
         for b in batches:
             at, made = [], []
-            for k, row in enumerate(b.astype(object).where(b.notna(), None).to_dict("records")):
-                for x in body(row) or ():
+            columns = [_local(c, zone).to_pylist() for c in b.columns]
+            for k, row in enumerate(zip(*columns)):
+                for x in body(dict(zip(b.schema.names, row))) or ():
                     if len(x) != len(names):
                         raise IllegalSize(f"{len(x)} values for {len(names)} columns")
                     at.append(k)
                     made.append(x)
-            part = pd.DataFrame(made, columns=names, dtype=object)
-            if keep_all:
-                part = pd.concat([b.iloc[at].reset_index(drop=True), part], axis=1)
-            yield part
+            if made:
+                old = b.take(pa.array(at, pa.int64())) if keep_all else None
+                arrays = [pa.array(values, kind) for values, kind in zip(zip(*made), kinds)]
+                yield pa.RecordBatch.from_arrays([*(old.columns if old else ()), *arrays], names=out.fieldNames())
 
-    return df.mapInPandas(run, out)
+    return df.mapInArrow(run, out)
 
 
 def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str], body: Callable[[tuple, pd.DataFrame], list[tuple] | None], out: T.StructType) -> DataFrame:

@@ -65,28 +65,39 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], how: str = "inner", left_names: Mapping[str, str] | None = None, right_names: Mapping[str, str] | None = None) -> DataFrame:
-    """Joins on pairs (left column, right column), null-safely. Names that clash must be renamed."""
+    """Joins on pairs (left column, right column), null-safely. Names that clash must be renamed. Both sides may come from one table."""
     if not keys:
         raise ValueError("a join needs at least one key; see theta_join")
-    condition = reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in keys])
-    return _joined(left, right, condition, how, left_names, right_names)
+    names = _names(left, right, how, left_names, right_names)
+    a, b = _fresh(left, "_l"), _fresh(right, "_r")
+    condition = reduce(lambda x, y: x & y, [F.col(_place(left, x, "_l")).eqNullSafe(F.col(_place(right, y, "_r"))) for x, y in keys])
+    return a.join(b, condition, how).toDF(*names)
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", left_names: Mapping[str, str] | None = None, right_names: Mapping[str, str] | None = None) -> DataFrame:
-    """Joins on any condition; give it at least one equality where there is one, so that it needn't compare all pairs."""
-    return _joined(left, right, condition, how, left_names, right_names)
+    """Joins on any condition; give it at least one equality where there is one, so that it needn't compare all pairs.
+    The condition tells the sides apart by name: of two sides from one table, rename one first."""
+    return left.join(right, condition, how).toDF(*_names(left, right, how, left_names, right_names))
 
 
-def _joined(left: DataFrame, right: DataFrame, condition: Column, how: str, left_names: Mapping[str, str] | None, right_names: Mapping[str, str] | None) -> DataFrame:
+def _fresh(df: DataFrame, prefix: str) -> DataFrame:
+    """df under names of its own, so that a side isn't taken for the other where both come from one table."""
+    return df.toDF(*[f"{prefix}{k}" for k in range(len(df.columns))])
+
+
+def _place(df: DataFrame, name: str, prefix: str) -> str:
+    lower = [c.lower() for c in df.columns]
+    if name.lower() not in lower:
+        raise ValueError(f"no column {name}; known: {', '.join(df.columns)}")
+    return f"{prefix}{lower.index(name.lower())}"
+
+
+def _names(left: DataFrame, right: DataFrame, how: str, left_names: Mapping[str, str] | None, right_names: Mapping[str, str] | None) -> list[str]:
     a, b = dict(left_names or {}), dict(right_names or {})
     half = how.replace("_", "").replace("left", "") in ("semi", "anti")
-    columns = [left[c].alias(a.get(c, c)) for c in left.columns]
-    names = [a.get(c, c) for c in left.columns]
-    if not half:
-        columns += [right[c].alias(b.get(c, c)) for c in right.columns]
-        names += [b.get(c, c) for c in right.columns]
+    names = [a.get(c, c) for c in left.columns] + ([] if half else [b.get(c, c) for c in right.columns])
     check_names(names)
-    return left.join(right, condition, how).select(*columns)
+    return names
 
 
 def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], **names) -> DataFrame:
@@ -107,22 +118,23 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, low: str, high:
     A span is repeated for each bucket that it touches; width near the usual span length is right."""
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    p = points.withColumn("_bucket", F.floor(F.col(point) / width))
-    s = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width))))
-    s = s.where(F.col(high) > F.col(low))
-    on = [p["_bucket"] == s["_b"], p[point] >= s[low], p[point] < s[high], *[p[a].eqNullSafe(s[b]) for a, b in keys]]
-    return checked(p.join(s, reduce(lambda a, b: a & b, on), how).drop("_bucket", "_b"))
+    p = _fresh(points, "_l").withColumn("_bucket", F.floor(F.col(_place(points, point, "_l")) / width))
+    at, start, end = F.col(_place(points, point, "_l")), F.col(_place(spans, low, "_r")), F.col(_place(spans, high, "_r"))
+    s = _fresh(spans, "_r").where(end > start).withColumn("_b", F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width))))
+    on = [F.col("_bucket") == F.col("_b"), at >= start, at < end, *[F.col(_place(points, a, "_l")).eqNullSafe(F.col(_place(spans, b, "_r"))) for a, b in keys]]
+    return checked(p.join(s, reduce(lambda a, b: a & b, on), how).drop("_bucket", "_b").toDF(*points.columns, *spans.columns))
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str]) -> DataFrame:
     """Each left row with the columns of the latest right row of its keys that isn't later than it (null without one).
+    A right row without a time is never met, and a left one meets none.
 
     One shuffle and one sort: both sides go into one table, and the last right row seen is carried on."""
     check_names([*left.columns, *columns])
     row = F.struct(*[F.col(c) for c in columns])
     null = F.lit(None).cast(right.select(row.alias("r")).schema["r"].dataType)
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), null.alias("_r"), F.struct(*left.columns).alias("_l"))
-    b = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), row.alias("_r"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"))
+    b = right.where(F.col(right_time).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), row.alias("_r"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"))
     order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.col("_t").asc_nulls_first(), "_side")
     last = F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return a.unionByName(b).withColumn("_hit", last).where("_side = 1").select("_l.*", *[F.col(f"_hit.{c}").alias(c) for c in columns])

@@ -172,6 +172,23 @@ def join_asof(spark, d):
     return rel.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ms"), clicks, ["user_id"], "ms", "ms", ["v"]).select("event_id", "v")
 
 
+@query(f"WITH c AS (SELECT user_id, ms, max(value) AS v FROM {EV} WHERE event_type = 'click' AND event_id % 3 <> 0 GROUP BY ALL), p AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN ms END AS ms FROM {EV} WHERE event_type = 'purchase') SELECT event_id, v FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ms >= c.ms")
+def join_asof_null(spark, d):
+    """Rows without a time on both sides."""
+    e = events(spark, d)
+    clicks = e.where("event_type = 'click'").withColumn("ms", F.when(F.col("event_id") % 3 != 0, F.col("ms"))).groupBy("user_id", "ms").agg(F.max("value").alias("v"))
+    buys = e.where("event_type = 'purchase'").select("event_id", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("ms")).alias("ms"))
+    return rel.asof_join(buys, clicks, ["user_id"], "ms", "ms", ["v"]).select("event_id", "v")
+
+
+@query("SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderstatus = 'F'")
+def join_self(spark, d):
+    """Two selections of one table."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    a, b = o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderstatus = 'F'")
+    return rel.inner_join(a, b, [("o_custkey", "o_custkey")], left_names={"o_orderkey": "first"}, right_names={"o_orderkey": "second", "o_custkey": "c", "o_orderpriority": "p", "o_orderstatus": "s"}).select("first", "second")
+
+
 @query("SELECT r_regionkey, r_name FROM region")
 def project(spark, d):
     return rel.project(t(spark, d, "region"), "r_regionkey", "r_name")
@@ -193,6 +210,22 @@ def union_all(spark, d):
     return rel.union_all([n, t(spark, d, "region").select("r_regionkey", "r_name"), n])
 
 
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def append(spark, d):
+    return rel.append(t(spark, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), t(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query("SELECT n_nationkey, k.name FROM nation JOIN (VALUES (0, 'zero'), (1, NULL), (3, 'three')) AS k(key, name) ON n_nationkey = k.key")
+def rows_to_table(spark, d):
+    made = rel.rows_to_table(spark, [(0, "zero"), (1, None), (3, "three")], "key int, name string")
+    return rel.inner_join(t(spark, d, "nation"), made, [("n_nationkey", "key")]).select("n_nationkey", "name")
+
+
+@query("SELECT * FROM supplier WHERE false")
+def empty_like(spark, d):
+    return rel.empty_like(t(spark, d, "supplier"))
+
+
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(spark, d):
     return rel.union_distinct(t(spark, d, "customer").select(F.col("c_nationkey").alias("k")), t(spark, d, "supplier").select("s_nationkey"))
@@ -281,7 +314,19 @@ def date_fmt(spark, d):
     return e.select("event_id", "text", fn.parse_date("text").alias("back"))
 
 
-@query()
+_TURN = "xor({0}, {0} >> {1})"
+_TIMES = "CAST(CAST({0} AS HUGEINT) * {1} % 4294967296 AS BIGINT)"
+#: MurmurHash3 of ASCII strings, block by block.
+_MURMUR = f"""WITH c AS (SELECT c_custkey, length(c_name) AS n, list_transform(range(1, length(c_name) + 1), lambda i: CAST(ord(substr(c_name, CAST(i AS INTEGER), 1)) AS BIGINT)) AS b FROM customer),
+k AS (SELECT *, list_transform(range(0, n, 4), lambda i: b[i + 1] + coalesce(b[i + 2], 0) * 256 + coalesce(b[i + 3], 0) * 65536 + coalesce(b[i + 4], 0) * 16777216) AS k FROM c),
+m AS (SELECT *, list_transform(list_transform(list_transform(k, lambda x: {_TIMES.format('x', 3432918353)}), lambda x: ((x << 15) % 4294967296) | (x >> 17)), lambda x: {_TIMES.format('x', 461845907)}) AS m FROM k),
+h AS (SELECT *, list_reduce(list_concat([CAST(104729 AS BIGINT)], m[: n // 4]), lambda h, x: ((((xor(h, x) << 13) % 4294967296) | (xor(h, x) >> 19)) * 5 + 3864292196) % 4294967296) AS h FROM m),
+u AS (SELECT c_custkey, xor(CASE WHEN n % 4 > 0 THEN xor(h, m[n // 4 + 1]) ELSE h END, n) AS h FROM h),
+v AS (SELECT c_custkey, {_TIMES.format(_TURN.format('h', 16), 2246822507)} AS h FROM u), w AS (SELECT c_custkey, {_TIMES.format(_TURN.format('h', 13), 3266489909)} AS h FROM v)
+SELECT c_custkey, CAST(CASE WHEN {_TURN.format('h', 16)} >= 2147483648 THEN {_TURN.format('h', 16)} - 4294967296 ELSE {_TURN.format('h', 16)} END AS INTEGER) AS h FROM w"""
+
+
+@query(_MURMUR)
 def murmur_hash(spark, d):
     return t(spark, d, "customer").select("c_custkey", fn.murmur3_hash32("c_name").alias("h"))
 
@@ -294,6 +339,27 @@ def udf_struct(spark, d):
     return cb.map_rows(t(spark, d, "events").select("event_id", "user_id", "event_type", "value"), lambda r: (r["event_id"], r["user_id"] % 7, r["event_type"] + "!") if r["value"] is not None and r["value"] >= 10 else None, "event_id long, bucket long, label string")
 
 
+_BIG = "CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 9223372036854775807 - n_nationkey ELSE -9223372036854775807 - 1 + n_nationkey END"
+
+
+def _extremes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    big = F.when(k % 3 == 1, F.lit((1 << 63) - 1) - k).when(k % 3 == 2, F.lit(-(1 << 63)) + k)
+    return t(spark, d, "nation").select("n_nationkey", big.cast("long").alias("big"))
+
+
+@query(f"SELECT n_nationkey, CAST({_BIG} AS VARCHAR) AS big, CAST(-(({_BIG}) // 2) AS VARCHAR) AS half FROM nation")
+def udf_exact_integers(spark, d):
+    """Integers at both ends of their range, with nulls beside them."""
+    half = lambda r: (None if r["big"] is None else -(abs(r["big"]) // 2 * (1 if r["big"] > 0 else -1)),)
+    return cb.map_rows(_extremes(spark, d), half, "half long", keep_all=True).select("n_nationkey", F.col("big").cast("string").alias("big"), F.col("half").cast("string").alias("half"))
+
+
+@query(f"SELECT n_nationkey, CAST({_BIG} AS VARCHAR) AS big FROM nation WHERE {_BIG} > 9223372036854775800 OR {_BIG} < -9223372036854775800")
+def filter_exact_integers(spark, d):
+    return cb.filter_with(_extremes(spark, d), lambda b: (b["big"] > 9223372036854775800) | (b["big"] < -9223372036854775800)).select("n_nationkey", F.col("big").cast("string").alias("big"))
+
+
 @query("SELECT n_name, k.k AS part, CAST(length(n_name) AS BIGINT) * k.k AS size FROM nation, (VALUES (1), (2)) AS k(k)")
 def udtf_rows(spark, d):
     return cb.flat_map_rows(t(spark, d, "nation").select("n_name"), lambda r: [(k, len(r["n_name"]) * k) for k in (1, 2)], "part int, size long", keep_all=True)
