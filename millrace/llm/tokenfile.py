@@ -3,9 +3,10 @@
 A block holds whole documents in ascending id order. In each block ids are replaced by their
 frequency rank there (ties to the smaller id); a rank takes one to four bytes, little-endian, and the
 lengths go, two bits each, to separate control bytes. So a block needs nothing but itself to be read:
-doc_ids, lengths, ranks (rank -> id), control, data. Blocks are rows of Parquet files, so Spark's
-commit protocol and every Hadoop file system apply. Decoding looks control bytes up in a table of
-256 x 4 lengths and gathers the data with numpy.
+doc_ids, lengths, ranks (rank -> id), control, data. Texts are tokenized where they lie, and their ids
+(two bytes each where the vocabulary allows it) are what is shuffled by range and sorted. Blocks are
+rows of Parquet files, so Spark's commit protocol and every Hadoop file system apply. Decoding looks
+control bytes up in a table of 256 x 4 lengths and gathers the data with numpy.
 
 Nulls: a null text counts as empty; a null id sorts first and is kept. Repeated rows are written as
 often as they occur. An empty table gives no blocks. Other columns of the table are not read.
@@ -21,9 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import with_bases
-from .pieces import encoder
-from .shared import small_batches
+from .packing import token_rows, with_bases
+from .shared import discard, written
 
 #: Ids after which a block ends, with the document in hand.
 BLOCK_IDS = 2_000_000
@@ -74,43 +74,44 @@ def decode_block(n: int, ranks: bytes, control: bytes, data: bytes) -> np.ndarra
     return np.frombuffer(ranks, "<u4")[code]
 
 
-def blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The blocks of all documents; part and block, in order, hold ascending ids."""
-    small_batches(docs.sparkSession)
+def blocks(tokens: DataFrame) -> DataFrame:
+    """The blocks of all documents' ids, as packing.token_rows() gives them; part and block, in order, hold ascending ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, block, done = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        part, block, done = TaskContext.get().partitionId(), 0, 0
         names, lens, flats, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            ids, ranks = np.concatenate(flats), pa.concat_arrays(names)
-            row = [part, block, done, len(ids), len(ranks), ranks.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(ranks.is_valid().to_numpy(zero_copy_only=False)).tobytes(), np.concatenate(lens).astype("<u4").tobytes(), *encode_block(ids)]
+            ids, ranks, n = np.concatenate(flats), pa.concat_arrays(names), np.concatenate(lens)
+            row = [part, block, done, len(ids), len(ranks), ranks.fill_null(0).to_numpy().astype("<i8").tobytes(), np.packbits(ranks.is_valid().to_numpy(zero_copy_only=False)).tobytes(), n.astype("<u4").tobytes(), *encode_block(ids)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            at = 0
-            for texts, sizes, flat in enc.encode(batch.column(1).to_pylist()):
-                flats.append(np.insert(flat, np.cumsum(sizes), end_id))
-                lens.append(sizes + 1)
-                names.append(batch.column(0).slice(at, len(texts)))
-                at += len(texts)
-                held += len(flats[-1])
+            n = batch.column(1).to_numpy()
+            cuts = np.unique(np.append(np.searchsorted(np.cumsum(n), np.arange(BLOCK_IDS - held, n.sum(), BLOCK_IDS)) + 1, len(n)))
+            for i, j in zip(np.concatenate(([0], cuts[:-1])).tolist(), cuts.tolist()):
+                flats += [np.frombuffer(x.as_buffer(), f"<u{w}").astype(np.int32) for x, w in zip(batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i).to_pylist())]
+                lens.append(n[i:j])
+                names.append(batch.column(0).slice(i, j - i))
+                held += int(n[i:j].sum())
                 if held >= BLOCK_IDS:
                     yield close()
                     block, done, names, lens, flats, held = block + 1, done + held, [], [], [], 0
         if held:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows of one id (a repeated one may be most of a table) are told apart by their text's hash.
-    key = [F.col("doc_id"), F.xxhash64("text")]
-    return rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(run, SCHEMA)
+    # Rows of one id (a repeated one may be most of a table) are told apart by a hash of their ids, and equal ones by their place.
+    key = [F.col("doc_id"), F.xxhash64("ids"), F.col("part"), F.col("start")]
+    ordered = tokens.repartitionByRange(*key).sortWithinPartitions(*key)
+    return ordered.select("doc_id", "n", "ids", "width").mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes all documents' ids, each document closed by end_id, as token files under path."""
-    blocks(docs, tokenizer, end_id, id_col, text_col).write.option("compression", "zstd").parquet(path)
+    tokens = written(token_rows(docs, tokenizer, end_id, id_col, text_col), "tokens")
+    blocks(tokens).write.option("compression", "zstd").parquet(path)
+    discard(tokens)
 
 
 def read(spark, path: str) -> DataFrame:
