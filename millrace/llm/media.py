@@ -6,14 +6,16 @@ rectangles of that picture, taken from its integral image; each difference becom
 bits, so every frame that a full window follows gives one 32-bit item.
 
 Two recordings are compared if they share at least SHARE of the distinct items of the one asked for.
-To find such pairs, only its rarest items are looked up: any recording with that many shared items
-holds one of them (so items of silence or noise that most recordings hold needn't be joined). A pair
+To find such pairs, only its rarest items are looked up and counted: a recording with that many shared
+items holds a known number of them (so items of silence or noise that most recordings hold needn't be
+joined), and only pairs with that number get their whole fingerprints. Such a pair
 is aligned at the offset at which most equal items meet (a histogram of offsets, over all equal items),
 and matches if there at most ERRORS of the bits differ over at least LEAST items.
 
 Recordings with equal fingerprints (by 128 bits of hash) are one class, named by its smallest id;
-only classes are compared. Nulls: a null recording has no samples; one shorter than a window has no items, is a class
-of its own and matches nothing; one with fewer than LEAST distinct items matches its own class alone.
+only classes are compared. One shorter than a window has no items: it matches nothing, and those with
+equal samples are one class. Nulls: a null recording has no samples. One with fewer than LEAST distinct
+items matches its own class alone. A long recording is transformed FRAMES frames at a time.
 Rows with a null id belong to classes but don't name one that has an id. Repeated rows each get a row.
 An empty table gives no rows. Other columns are not read.
 """
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 
-#: Frames of a window; the least share of common items; the greatest share of differing bits; items that an alignment needs.
-WIDTH, SHARE, ERRORS, LEAST = 16, 0.25, 0.15, 8
+#: Frames of a window; the least share of common items; the greatest share of differing bits; items that an alignment needs;
+#: the share of items that is looked up beyond those of which a match holds one.
+WIDTH, SHARE, ERRORS, LEAST, MORE = 16, 0.25, 0.15, 8, 0.1
 #: Frames that are transformed at once.
 FRAMES = 4096
 #: (kind, first pitch class, pitch classes, frames, centre, step): kinds as in filtered(); a difference's code tells whether it lies
@@ -115,18 +118,20 @@ def items_of(picture: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame, encoding: str = "s16", rate: float = 11025, frame: int = 4096, hop: int = 1365, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
-    """id, items (array of int, the 32 bits of each) of every row; audio: mono samples as binary."""
+    """id, items (array of int, the 32 bits of each) and brief (the samples, where there are no items) of every row; audio: mono samples as binary."""
     small_batches(recordings.sparkSession)
     fold = folding(rate, frame)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [items_of(chroma(samples(x, encoding), frame, hop, fold)).view(np.int32) for x in batch.column(1).to_pylist()]
+            heard = [samples(x, encoding) for x in batch.column(1).to_pylist()]
+            found = [items_of(chroma(x, frame, hop, fold)).view(np.int32) for x in heard]
+            brief = pa.array([None if len(f) else x.tobytes() for x, f in zip(heard, found)], pa.binary())
             ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), items, brief], names=["id", "items", "brief"])
 
-    return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, "id long, items array<int>")
+    return recordings.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).cast("binary").alias("audio")).mapInArrow(run, "id long, items array<int>, brief binary")
 
 
 def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,23 +164,23 @@ def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def search(prints: DataFrame, every: int = 100) -> DataFrame:
-    """prints: id, items, in a table that may be read again. One row each: id, n_items, class_id, matches.
+    """prints: id, items, brief, in a table that may be read again. One row each: id, n_items, class_id, matches.
 
     matches is null but for rows whose id is divisible by ``every``; there it holds (class_id, offset,
     overlap, bit_errors) of each other class that matches, by class_id.
     """
-    keyed = prints.withColumns({"ka": F.xxhash64("items"), "kb": F.xxhash64(F.lit("items"), "items")})
-    some = keyed.where(F.size("items") > 0)
+    keyed = prints.withColumns({"ka": F.xxhash64("items", "brief"), "kb": F.xxhash64(F.lit("items"), "items", "brief")})
     asked = F.coalesce(F.col("id") % every == 0, F.lit(False))
-    classes = written(some.where("id is not null").groupBy("ka", "kb").agg(F.min("id").alias("class_id"), F.max(asked).alias("asked"), F.first("items").alias("items")), "media-classes")
+    classes = written(keyed.where("id is not null").groupBy("ka", "kb").agg(F.min("id").alias("class_id"), F.max(asked).alias("asked"), F.first("items").alias("items")), "media-classes")
     single = classes.select("class_id", "asked", F.explode(F.array_distinct("items")).alias("item"))
     common = single.groupBy("item").agg(F.count("*").alias("held"))
     own = single.where("asked").select("class_id", "item").join(common, "item")
     mine = Window.partitionBy("class_id")
     ranked = own.withColumn("n", F.count("*").over(mine)).withColumn("k", F.row_number().over(mine.orderBy("held", "item")))
     need = F.greatest(F.ceil(F.col("n") * SHARE), F.lit(1))
-    rare = ranked.where((F.col("n") >= LEAST) & (F.col("k") <= F.col("n") - need + 1)).select(F.col("class_id").alias("q"), "item")
-    pairs = rare.join(single.select("class_id", "item"), "item").where("class_id <> q").select("q", "class_id").distinct()
+    more = F.least(F.floor(F.col("n") * MORE), need - 1)
+    rare = ranked.where((F.col("n") >= LEAST) & (F.col("k") <= F.col("n") - need + 1 + more)).select(F.col("class_id").alias("q"), "item", (more + 1).alias("least"))
+    pairs = rare.join(single.select("class_id", "item"), "item").where("class_id <> q").groupBy("q", "class_id", "least").agg(F.count("*").alias("both")).where("both >= least").select("q", "class_id")
     left = classes.select(F.col("class_id").alias("q"), F.col("items").alias("a"))
     both = pairs.join(left, "q").join(classes.select("class_id", F.col("items").alias("b")), "class_id")
 

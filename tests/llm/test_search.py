@@ -208,7 +208,7 @@ def test_recordings_are_aligned(spark):
     noise = np.random.default_rng(9)
     one, two = tune(1), tune(2)
     rows = [(100, pcm(one)), (7, pcm(one)), (8, pcm(one + noise.normal(0, 0.02, len(one)))), (9, pcm(np.concatenate([two[: 1365 * 9], one]))), (200, pcm(two)), (10, pcm(np.zeros(60000)))]
-    rows += [(300, None), (301, b""), (302, pcm(one[:9000])), (400, pcm(np.zeros(60000))), (None, pcm(two)), (11, pcm(np.zeros(90000))), (100, pcm(one))]
+    rows += [(300, None), (301, b""), (302, pcm(one[:9000])), (303, pcm(one[:9000])), (304, pcm(one[:9001])), (400, pcm(np.zeros(60000))), (None, pcm(two)), (11, pcm(np.zeros(90000))), (100, pcm(one))]
     df = spark.createDataFrame(rows, "id long, audio binary").selectExpr("*", "1 as items", "2 as q")
     prints = written(media.fingerprints(df), "prints")
     got = media.search(prints).collect()
@@ -216,6 +216,7 @@ def test_recordings_are_aligned(spark):
     classes, want = brute([(r.id, r["items"]) for r in prints.collect()])
     by = {r.id: r for r in got}
     assert by[100].class_id == by[7].class_id == 7 and by[None].class_id == 200 and by[400].class_id == 10 and by[300].class_id == 300
+    assert [by[i].class_id for i in (301, 302, 303, 304)] == [300, 302, 302, 304] and by[300].matches == []
     assert {m.class_id for m in by[100].matches} >= {8, 9} and next(m for m in by[100].matches if m.class_id == 9).offset == 9
     for r in got:
         if r.id is not None and r.id % 100 == 0:
