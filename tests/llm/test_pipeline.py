@@ -12,7 +12,7 @@ from millrace.llm.pieces import tokenizer_path
 from millrace.llm.queries import MIXTURE
 
 from .test_native import slow_lines, slow_mix
-from .test_simhash import slow_similar
+from .test_simhash import exact
 
 WORDS = [a + b for a in ("ba", "de", "fi", "go", "lu", "mer", "nor", "pa") for b in ("ta", "kin", "sol", "ra", "ven", "dor")]
 
@@ -51,7 +51,7 @@ def slow_pipeline(rows, labels):
     cut = slow_lines([(k, r[3], r[1]) for k, r in enumerate(stages[-1])], 0.05, 5)
     stages.append([(r[0], t, *r[2:]) for r, (_, _, t) in zip(stages[-1], cut)])
     unique = sorted(set(stages[-1]), key=lambda r: r[0])
-    label = slow_similar([r[1] for r in unique])
+    label = exact([r[1] for r in unique])
     stages.append([r for k, r in enumerate(unique) if label[k] == k])
     given = [MIXTURE["weights"]["domain"], MIXTURE["weights"]["lang"], {}]
     tree = [(r[0], domain(r[3]), r[2], r[3], r[1]) for r in stages[-1]]
