@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on a session without one (tests) a new temporary folder, which is then set."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("MILLRACE_TEST_SHARED_DIR")
+    """The folder in spark.checkpoint.dir; on a local session without one (tests) a temporary folder of this process."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        place = os.environ["MILLRACE_TEST_SHARED_DIR"] = tempfile.mkdtemp(prefix="millrace-")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="millrace-"))
+        place = _own[0]
     return place.rstrip("/")
 
 
