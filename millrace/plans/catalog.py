@@ -522,6 +522,25 @@ def stream_hop_topn(spark, d):
     return spark.read.schema("user_id long, window_start long, window_end long, n long, total double, rank long, c_name string, batch long").parquet(path).select("window_start", "rank", "user_id", "n", "total", "c_name")
 
 
+@query(f"SELECT event_id, ms, CAST(big AS VARCHAR) AS big FROM (SELECT event_id, ms, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 9223372036854775807 - event_id ELSE -9223372036854775807 - 1 + event_id END AS big FROM {EV}), {_MARK} WHERE ms <= mark")
+def stream_reorder(spark, d):
+    """Rows held until the watermark has passed them, with integers at both ends of their range beside nulls."""
+    stateful.use_rocksdb(spark)
+    k = F.col("event_id")
+    big = F.when(k % 3 == 1, F.lit((1 << 63) - 1) - k).when(k % 3 == 2, F.lit(-(1 << 63)) + k)
+    rows = event_stream(spark, d).select("event_id", "ms", big.cast("long").alias("big"))
+    return drained(spark, stateful.reorder(rows, "ms"), "stream-reorder").select("event_id", "ms", F.col("big").cast("string").alias("big"))
+
+
+@query(f"SELECT event_id, n, ids FROM (SELECT event_id, ms, count(*) OVER w AS n, CAST(sum(event_id) OVER w AS BIGINT) AS ids FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN CURRENT ROW AND {HOUR - 1} FOLLOWING)), {_MARK} WHERE ms + {HOUR} <= mark")
+def stream_over_duration(spark, d):
+    """Each row with those of the hour that it begins, once the watermark has passed that."""
+    stateful.use_rocksdb(spark)
+    rows = event_stream(spark, d).select("user_id", "ms", "event_id")
+    out = stateful.over_duration(rows, ["user_id"], "ms", HOUR, lambda key, r: (len(r), int(r.event_id.sum())), "n long, ids long")
+    return drained(spark, out, "stream-over-duration").select("event_id", "n", "ids")
+
+
 @query(f"SELECT event_id, count(*) OVER w AS n, CAST(sum(event_id) OVER w AS BIGINT) AS ids FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def stream_over_size(spark, d):
     stateful.use_rocksdb(spark)

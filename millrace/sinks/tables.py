@@ -20,7 +20,10 @@ def jdbc(df: DataFrame, url: str, name: str, batch: int = 1000, replace: bool =
     df.write.format("jdbc").options(**options).mode("overwrite" if replace else "append").save()
     if index_sql:
         gateway = df.sparkSession.sparkContext._jvm
-        connection = gateway.java.sql.DriverManager.getConnection(url)
+        given = gateway.java.util.Properties()
+        for key, value in (properties or {}).items():
+            given.setProperty(key, str(value))
+        connection = gateway.java.sql.DriverManager.getConnection(url, given)
         try:
             connection.createStatement().execute(index_sql)
         finally:

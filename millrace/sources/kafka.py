@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def options(servers: str, topic: str, start_ms: int = 0, end_ms: int | None = None, group: str | None = None) -> dict[str, str]:
-    """Reader options: from a time on (0: from the earliest record; beyond the end: new ones only), up to a time for bounded reads."""
+def options(servers: str, topic: str, start_ms: int = 0, group: str | None = None) -> dict[str, str]:
+    """Reader options: from a time on (0: from the earliest record; beyond the end: new ones only). No record is received
+    before its time, so this loses none; one of the span asked for may be received after its end, so reads don't stop there."""
     out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "failOnDataLoss": "false"}
     if group:
         out["groupIdPrefix"] = group
@@ -16,12 +19,10 @@ def options(servers: str, topic: str, start_ms: int = 0, end_ms: int | None = No
         out |= {"startingTimestamp": str(start_ms), "startingOffsetsByTimestampStrategy": "latest"}
     else:
         out["startingOffsets"] = "earliest"
-    if end_ms is not None:
-        out["endingTimestamp"] = str(end_ms)
     return out
 
 
-def event_time(key: str = "key"):
+def event_time(key: Column | str = "key") -> Column:
     """The key's milliseconds; null for a key of another length."""
     return F.when(F.length(key) == 8, F.conv(F.hex(key), 16, -10).cast("long"))
 
@@ -36,15 +37,17 @@ def parsed(records: DataFrame, schema: str | T.StructType, start_ms: int | None
     return rows.select("v.*", "__time__", "__receive_time__")
 
 
-def raw(records: DataFrame) -> DataFrame:
-    """__receive_time__, __time__ and the value as text."""
-    return records.select(F.unix_millis("timestamp").alias("__receive_time__"), event_time().alias("__time__"), F.col("value").cast("string").alias("value"))
+def raw(records: DataFrame, time_of: Callable[[Column], Column] = event_time, value_of: Callable[[Column], Column] | None = None) -> DataFrame:
+    """__receive_time__, __time__ and the value: what time_of makes of the key and value_of of the value's bytes (by default text)."""
+    value = F.col("value").cast("string") if value_of is None else value_of(F.col("value"))
+    return records.select(F.unix_millis("timestamp").alias("__receive_time__"), time_of(F.col("key")).alias("__time__"), value.alias("value"))
 
 
-def stream(spark: SparkSession, schema: str | T.StructType, **where) -> DataFrame:
-    """Needs the connector on the class path."""
-    return parsed(spark.readStream.format("kafka").options(**options(**where)).load(), schema)
+def stream(spark: SparkSession, schema: str | T.StructType, end_ms: int | None = None, **where) -> DataFrame:
+    """Records whose time is in [start_ms, end_ms). Needs the connector on the class path."""
+    return parsed(spark.readStream.format("kafka").options(**options(**where)).load(), schema, where.get("start_ms") or None, end_ms)
 
 
-def table(spark: SparkSession, schema: str | T.StructType, **where) -> DataFrame:
-    return parsed(spark.read.format("kafka").options(**options(**where)).load(), schema, where.get("start_ms") or None, where.get("end_ms"))
+def table(spark: SparkSession, schema: str | T.StructType, end_ms: int | None = None, **where) -> DataFrame:
+    """As stream(), of the records that are there."""
+    return parsed(spark.read.format("kafka").options(**options(**where)).load(), schema, where.get("start_ms") or None, end_ms)

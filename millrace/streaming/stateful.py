@@ -5,8 +5,10 @@ buffer is state: it is checkpointed, and lives outside Python between batches.""
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,22 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _carried(df: DataFrame, as_numbers: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df with its long columns as text, and which: on the way through pandas a long beside a null would become a float.
+    Those that are never null (times, orders) stay numbers."""
+    longs = [f.name for f in df.schema if isinstance(f.dataType, T.LongType) and f.name not in as_numbers]
+    return df.withColumns({c: F.col(c).cast("string") for c in longs}), longs
+
+
+def _whole(x: str | None) -> int | None:
+    return None if x is None else int(x)
+
+
+def _restored(frame: pd.DataFrame, longs: Sequence[str]) -> pd.DataFrame:
+    """frame with exact integers, None for null, in the columns that came as text."""
+    return frame.assign(**{c: pd.Series([_whole(x) for x in frame[c].where(frame[c].notna(), None)], frame.index, object) for c in longs})
+
+
 def _plain(frame: pd.DataFrame) -> list[tuple]:
     return list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
 
@@ -63,7 +81,7 @@ class _Buffer(StatefulProcessor):
             yield pd.DataFrame(made, columns=self.out.fieldNames(), dtype=object).astype({f.name: "Int64" for f in self.out if isinstance(f.dataType, T.IntegralType)})
 
     def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.state.get()), columns=self.rows.fieldNames()) if self.state.exists() else pd.DataFrame(columns=self.rows.fieldNames())
+        return pd.DataFrame(list(self.state.get()), columns=self.rows.fieldNames(), dtype=object).astype({self.time: "int64"}) if self.state.exists() else pd.DataFrame(columns=self.rows.fieldNames())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat([r[self.rows.fieldNames()] for r in rows], ignore_index=True)
@@ -83,46 +101,54 @@ class _Buffer(StatefulProcessor):
 class _Ahead(_Buffer):
     """A row is given out, with what body makes of it and what follows, when all that may follow it is there."""
 
-    def __init__(self, *args, body: Callable):
+    def __init__(self, *args, body: Callable, longs: list[str], keys: Sequence[str]):
         super().__init__(*args)
-        self.body = body
+        self.body, self.longs, self.key_longs = body, longs, [k in longs for k in keys]
 
     def emit(self, key: tuple, ready: pd.DataFrame, rows: pd.DataFrame) -> list[tuple]:
-        out, times = [], rows[self.time]
-        for k, row in enumerate(_plain(ready)):
-            t = times.iloc[k]
-            out.append((*row, *self.body(key, rows[(times >= t) & (times < t + self.wait)])))
-        return out
+        times = rows[self.time].to_numpy(np.int64)
+        ends = np.searchsorted(times, times[: len(ready)] + self.wait)
+        begins = np.searchsorted(times, times[: len(ready)])
+        key = tuple(_whole(x) if own else x for x, own in zip(key, self.key_longs))
+        all_ = _restored(rows, self.longs)
+        return [(*row, *self.body(key, all_.iloc[i:j])) for row, i, j in zip(_plain(ready), begins, ends)]
+
+
+def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, out: T.StructType, mode: str, longs: Sequence[str]) -> DataFrame:
+    made = df.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", mode)
+    return made.withColumns({c: F.col(c).cast("long") for c in longs})
 
 
-def _run(df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, out: T.StructType, idle: int | None) -> DataFrame:
-    mode = "EventTime" if idle is None else "ProcessingTime"
-    return df.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", mode)
+def _mode(idle: int | None) -> str:
+    return "EventTime" if idle is None else "ProcessingTime"
 
 
 def reorder(df: DataFrame, time: str, delay: str = "1 second", shards: int = 8, idle_ms: int | None = None, delay_ms: int = 1000) -> DataFrame:
     """Rows again, held back until the watermark (delay) has passed their time, so that each shard's come in order of time.
 
     With idle_ms a shard's own latest time less delay_ms counts instead, and all it holds comes out after idle_ms without rows."""
+    df, longs = _carried(df.where(F.col(time).isNotNull()), [time])
     rows = df.schema
     source = (timed(df, time, delay) if idle_ms is None else df).withColumn("_shard", F.pmod(F.xxhash64(*df.columns), F.lit(shards)))
-    return _run(source, ["_shard"], _Buffer(rows, rows, time, 0 if idle_ms is None else delay_ms, idle_ms), rows, idle_ms)
+    return _run(source, ["_shard"], _Buffer(rows, rows, time, 0 if idle_ms is None else delay_ms, idle_ms), rows, _mode(idle_ms), longs)
 
 
 def over_duration(df: DataFrame, keys: Sequence[str], time: str, size: int, body: Callable[[tuple, pd.DataFrame], tuple], schema: str, delay: str = "1 second", idle_ms: int | None = None) -> DataFrame:
     """Each row with body(key, rows) over its key's rows from its time up to, but without, size later; once these are all there."""
     new = T.StructType.fromDDL(schema)
+    check_names([*df.columns, *new.fieldNames()])
+    df, longs = _carried(df.where(F.col(time).isNotNull()), [time])
     out = T.StructType([*df.schema.fields, *new.fields])
-    check_names(out.fieldNames())
     source = timed(df, time, delay) if idle_ms is None else df
-    return _run(source, keys, _Ahead(df.schema, out, time, size, idle_ms, body=body), out, idle_ms)
+    return _run(source, keys, _Ahead(df.schema, out, time, size, idle_ms, body=body, longs=longs, keys=keys), out, _mode(idle_ms), longs)
 
 
 class _Last(StatefulProcessor):
     """Keeps the last n rows of a key in order; each new row is given out at once."""
 
-    def __init__(self, rows: T.StructType, out: T.StructType, order: list[str], n: int, body: Callable):
+    def __init__(self, rows: T.StructType, out: T.StructType, order: list[str], n: int, body: Callable, longs: list[str], keys: Sequence[str]):
         self.rows, self.out, self.order, self.n, self.body = rows, out, order, n, body
+        self.longs, self.key_longs = longs, [k in longs for k in keys]
 
     def init(self, handle) -> None:
         self.state = handle.getListState("rows", self.rows)
@@ -136,11 +162,11 @@ class _Last(StatefulProcessor):
         by = lambda r: tuple(r[p] for p in place)
         held = [tuple(r) for r in self.state.get()] if self.state.exists() else []
         made = []
+        key = tuple(_whole(x) if own else x for x, own in zip(key, self.key_longs))
         for row in sorted((x for part in rows for x in _plain(part[names])), key=by):
-            held.append(row)
-            held.sort(key=by)
+            insort(held, row, key=by)
             held = held[-self.n :]
-            new = self.body(key, pd.DataFrame(held, columns=names))
+            new = self.body(key, _restored(pd.DataFrame(held, columns=names), self.longs))
             if len(new) != len(self.out) - len(names):
                 raise IllegalSize(f"{len(new)} values for {len(self.out) - len(names)} columns")
             made.append((*row, *new))
@@ -152,9 +178,11 @@ def over_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     """Each row with body(key, rows) over the last n rows of its key in this order, itself included. Order columns are never null."""
     if n <= 0:
         raise ValueError("n must be positive")
-    out = T.StructType([*df.schema.fields, *T.StructType.fromDDL(schema).fields])
-    check_names(out.fieldNames())
-    return df.groupBy(*keys).transformWithStateInPandas(_Last(df.schema, out, list(order), n, body), out, "Append", "None")
+    new = T.StructType.fromDDL(schema)
+    check_names([*df.columns, *new.fieldNames()])
+    df, longs = _carried(df, order)
+    out = T.StructType([*df.schema.fields, *new.fields])
+    return _run(df, keys, _Last(df.schema, out, list(order), n, body, longs, keys), out, "None", longs)
 
 
 def state_of(spark: SparkSession, checkpoint: str, variable: str = "rows") -> DataFrame:

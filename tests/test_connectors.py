@@ -25,9 +25,10 @@ def test_topic_round_trip(spark):
     assert back.where("__receive_time__ < __time__").count() == 0
     assert kafka.parsed(sent, "i int", 5, 6).count() == 1 and kafka.parsed(sent, "i int", 6, 7).count() == 0
     assert rows(kafka.raw(sent).select("__time__")) == [(1700000000000,), (5,)]
+    assert rows(kafka.raw(sent, lambda key: F.length(key), lambda value: F.get_json_object(value.cast("string"), "$.none")).select("__time__", "value")) == [(8, None), (8, None)]
     assert {r.partition for r in to_kafka.records(df, 4).collect()} <= set(range(4))
-    o = kafka.options("h:1", "t", 7, 9)
-    assert o["startingTimestamp"] == "7" and o["endingTimestamp"] == "9" and kafka.options("h", "t")["startingOffsets"] == "earliest"
+    o = kafka.options("h:1", "t", 7)
+    assert o["startingTimestamp"] == "7" and "endingTimestamp" not in o and kafka.options("h", "t")["startingOffsets"] == "earliest"
 
 
 def test_database(spark):
