@@ -53,6 +53,15 @@ def test_recall_over_many_blocks(spark, monkeypatch):
     assert all(sorted(g) == list(range(1, 11)) for g in got.values()) and hits >= 0.9 * 10 * len(want)
 
 
+def test_equal_distances_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    rows = [(i, [1.0, float(i % 3), 0.0, 0.0, 2.0, 0.0, 0.0, 0.0]) for i in range(1, 60)] + [(100, [1.0, 1.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0]), (61, [1.0, 0.0] + [0.5] * 6)]
+    got = {}
+    for r in ann.nearest(vectors(spark, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == exact(rows) and [i for _, i in got[100]] == list(range(1, 30, 3))
+
+
 def test_anisotropic_codes_lose_less_along_the_vector():
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(800, 64))
