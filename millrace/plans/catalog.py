@@ -532,6 +532,9 @@ def stream_reorder(spark, d):
     return drained(spark, stateful.reorder(rows, "ms"), "stream-reorder").select("event_id", "ms", F.col("big").cast("string").alias("big"))
 
 
+_COUNT_AND_SUM = stateful.Spans(lambda key, rows, begins, ends: (ends - begins, stateful.sums(rows.event_id, begins, ends)))
+
+
 @query(f"SELECT event_id, n, ids FROM (SELECT event_id, ms, count(*) OVER w AS n, CAST(sum(event_id) OVER w AS BIGINT) AS ids FROM {EV} WINDOW w AS (PARTITION BY user_id ORDER BY ms RANGE BETWEEN CURRENT ROW AND {HOUR - 1} FOLLOWING)), {_MARK} WHERE ms + {HOUR} <= mark")
 def stream_over_duration(spark, d):
     """Each row with those of the hour that it begins, once the watermark has passed that."""
@@ -545,5 +548,5 @@ def stream_over_duration(spark, d):
 def stream_over_size(spark, d):
     stateful.use_rocksdb(spark)
     rows = event_stream(spark, d).select("user_id", "ms", "event_id")
-    out = stateful.over_size(rows, ["user_id"], ["ms", "event_id"], 5, lambda key, r: (len(r), int(r.event_id.sum())), "n long, ids long")
+    out = stateful.over_size(rows, ["user_id"], ["ms", "event_id"], 5, _COUNT_AND_SUM, "n long, ids long")
     return drained(spark, out, "stream-over-size").select("event_id", "n", "ids")

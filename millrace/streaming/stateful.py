@@ -6,7 +6,7 @@ buffer is state: it is checkpointed, and lives outside Python between batches.""
 from __future__ import annotations
 
 from bisect import insort
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,86 @@ def _plain(frame: pd.DataFrame) -> list[tuple]:
     return list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
 
 
+#: Rows by column: integers that are never null as int64, all else as objects with None for null.
+Chunk = dict[str, np.ndarray]
+#: Rows that are given out, or handed to a body, at once.
+PART = 10_000
+
+
+def _chunk(columns: Iterable, rows: T.StructType) -> Chunk:
+    """The columns of rows, in its order."""
+    made = {}
+    for f, column in zip(rows, columns):
+        if not (isinstance(column, np.ndarray) and column.dtype == np.int64):
+            held = np.empty(len(column), object)
+            held[:] = column
+            null = pd.isna(held)
+            if isinstance(f.dataType, T.IntegralType):  # pandas has floats beside a null
+                held[~null] = [int(x) for x in held[~null]]
+            held[null] = None
+            column = held
+        made[f.name] = column
+    return made
+
+
+def _chunk_of(frame: pd.DataFrame, rows: T.StructType) -> Chunk:
+    return _chunk([frame[f.name].to_numpy(None if frame[f.name].dtype == np.int64 else object) for f in rows], rows)
+
+
+def _joined(chunks: Sequence[Chunk]) -> Chunk:
+    return chunks[0] if len(chunks) == 1 else {c: np.concatenate([x[c] for x in chunks]) for c in chunks[0]}
+
+
+def _at(chunk: Chunk, places: slice | np.ndarray) -> Chunk:
+    return {c: a[places] for c, a in chunk.items()}
+
+
+def _tuples(chunk: Chunk) -> list[tuple]:
+    return list(zip(*[a.tolist() for a in chunk.values()]))
+
+
+class Spans:
+    """A body for many windows at once: make(key, rows, begins, ends), where window i is rows[begins[i]:ends[i]], gives a
+    column of values, one a window, for each new column."""
+
+    def __init__(self, make: Callable[[tuple, pd.DataFrame, np.ndarray, np.ndarray], Sequence]):
+        self.make = make
+
+
+def sums(values: pd.Series, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For Spans: exact sums of a window's integers, None where it has none."""
+    there = values.notna().to_numpy()
+    upto = np.concatenate([np.zeros(1, object), np.cumsum(np.where(there, values.to_numpy(object), 0).astype(object))])
+    some = np.concatenate([[0], np.cumsum(there)])
+    return np.where(some[ends] > some[begins], upto[ends] - upto[begins], None)
+
+
+def _applied(body: Callable | Spans, key: tuple, chunk: Chunk, begins: np.ndarray, ends: np.ndarray, longs: Sequence[str], new: Sequence[T.StructField]) -> dict:
+    """The new columns: what body makes of each window."""
+    columns = {c: np.array([_whole(x) for x in a] or [], object) if c in longs else a.tolist() if a.dtype == object else a for c, a in chunk.items()}
+    rows = pd.DataFrame(columns)
+    if isinstance(body, Spans):
+        made = list(body.make(key, rows, begins, ends))
+        if len(made) != len(new) or any(len(x) != len(begins) for x in made):
+            raise IllegalSize(f"{len(made)} columns of {[len(x) for x in made]} values for {len(new)} of {len(begins)}")
+        return dict(zip((f.name for f in new), made))
+    each = [body(key, rows.iloc[i:j].reset_index(drop=True)) for i, j in zip(begins.tolist(), ends.tolist())]
+    for x in each:
+        if len(x) != len(new):
+            raise IllegalSize(f"{len(x)} values for {len(new)} columns")
+    return {f.name: [x[k] for x in each] for k, f in enumerate(new)}
+
+
+def _framed(columns: dict, out: T.StructType) -> pd.DataFrame:
+    def one(f: T.StructField):
+        x = columns[f.name]
+        if isinstance(f.dataType, T.IntegralType):
+            return x if isinstance(x, np.ndarray) and x.dtype == np.int64 else pd.array(x, "Int64")
+        return pd.Series(x, dtype=object)
+
+    return pd.DataFrame({f.name: one(f) for f in out})
+
+
 class _Buffer(StatefulProcessor):
     """Holds rows of a key until their time comes."""
 
@@ -146,7 +226,7 @@ def over_duration(df: DataFrame, keys: Sequence[str], time: str, size: int, body
 class _Last(StatefulProcessor):
     """Keeps the last n rows of a key in order; each new row is given out at once."""
 
-    def __init__(self, rows: T.StructType, out: T.StructType, order: list[str], n: int, body: Callable, longs: list[str], keys: Sequence[str]):
+    def __init__(self, rows: T.StructType, out: T.StructType, order: list[str], n: int, body: Callable | Spans, longs: list[str], keys: Sequence[str]):
         self.rows, self.out, self.order, self.n, self.body = rows, out, order, n, body
         self.longs, self.key_longs = longs, [k in longs for k in keys]
 
@@ -156,26 +236,52 @@ class _Last(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _sorted(self, rows: Chunk) -> Chunk:
+        by = [rows[c] for c in self.order]
+        if all(a.dtype == np.int64 for a in by):
+            return _at(rows, np.lexsort(by[::-1]))
+        by = list(zip(*[a.tolist() for a in by]))
+        return _at(rows, np.array(sorted(range(len(by)), key=by.__getitem__)))
+
+    def _given(self, key: tuple, new: Chunk, rows: Chunk, begins: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        return _framed(new | _applied(self.body, key, rows, begins, ends, self.longs, self.out.fields[len(self.rows) :]), self.out)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        names = self.rows.fieldNames()
-        place = [names.index(c) for c in self.order]
+        key = tuple(_whole(x) if own else x for x, own in zip(key, self.key_longs))
+        place = [self.rows.fieldNames().index(c) for c in self.order]
         by = lambda r: tuple(r[p] for p in place)
         held = [tuple(r) for r in self.state.get()] if self.state.exists() else []
-        made = []
-        key = tuple(_whole(x) if own else x for x, own in zip(key, self.key_longs))
-        for row in sorted((x for part in rows for x in _plain(part[names])), key=by):
-            insort(held, row, key=by)
-            held = held[-self.n :]
-            new = self.body(key, _restored(pd.DataFrame(held, columns=names), self.longs))
-            if len(new) != len(self.out) - len(names):
-                raise IllegalSize(f"{len(new)} values for {len(self.out) - len(names)} columns")
-            made.append((*row, *new))
-        self.state.put(held)
-        yield pd.DataFrame(made, columns=self.out.fieldNames(), dtype=object).astype({f.name: "Int64" for f in self.out if isinstance(f.dataType, T.IntegralType)})
-
-
-def over_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, body: Callable[[tuple, pd.DataFrame], tuple], schema: str) -> DataFrame:
-    """Each row with body(key, rows) over the last n rows of its key in this order, itself included. Order columns are never null."""
+        new = self._sorted(_joined([_chunk_of(part, self.rows) for part in rows]))
+        size, done = len(new[self.order[0]]), 0
+        late = lambda: held and done < size and by([a[done] for a in new.values()]) < by(held[-1])
+        while late():  # rows that come before one that is held: windows aren't runs of rows, so each is copied
+            first, windows, ends = done, [], []
+            while late() and done - first < max(1, PART // self.n):
+                insort(held, tuple(a[done] if a.dtype == object else int(a[done]) for a in new.values()), key=by)
+                held = held[-self.n :]
+                windows += held
+                ends.append(len(windows))
+                done += 1
+            yield self._given(key, _at(new, slice(first, done)), self._of(windows), np.array([0, *ends[:-1]]), np.array(ends))
+        new = _at(new, slice(done, size))
+        both = _joined([self._of(held), new]) if held else new
+        size, before = len(both[self.order[0]]), len(held)
+        for i in range(before, size, PART):
+            ends = np.arange(i, min(size, i + PART)) + 1
+            begins = np.maximum(ends - self.n, 0)
+            low, high = int(begins[0]), int(ends[-1])
+            yield self._given(key, _at(both, slice(i, high)), _at(both, slice(low, high)), begins - low, ends - low)
+        self.state.put(_tuples(_at(both, slice(max(0, size - self.n), size))))
+
+    def _of(self, rows: list[tuple]) -> Chunk:
+        chunk = _chunk(zip(*rows), self.rows)
+        return chunk | {c: chunk[c].astype(np.int64) for c in self.order if isinstance(self.rows[c].dataType, T.IntegralType)}
+
+
+def over_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, body: Callable[[tuple, pd.DataFrame], tuple] | Spans, schema: str) -> DataFrame:
+    """Each row with body(key, rows) over the last n rows of its key in this order, itself included. Order columns are never null.
+
+    body is called for each row; as Spans, for up to 10,000 rows of a key at once."""
     if n <= 0:
         raise ValueError("n must be positive")
     new = T.StructType.fromDDL(schema)
@@ -190,4 +296,4 @@ def state_of(spark: SparkSession, checkpoint: str, variable: str = "rows") -> Da
     return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
 
 
-__all__ = ["TIME", "over_duration", "over_size", "reorder", "state_of", "use_rocksdb"]
+__all__ = ["Spans", "TIME", "over_duration", "over_size", "reorder", "state_of", "sums", "use_rocksdb"]
