@@ -540,7 +540,7 @@ def stream_over_duration(spark, d):
     """Each row with those of the hour that it begins, once the watermark has passed that."""
     stateful.use_rocksdb(spark)
     rows = event_stream(spark, d).select("user_id", "ms", "event_id")
-    out = stateful.over_duration(rows, ["user_id"], "ms", HOUR, lambda key, r: (len(r), int(r.event_id.sum())), "n long, ids long")
+    out = stateful.over_duration(rows, ["user_id"], "ms", HOUR, _COUNT_AND_SUM, "n long, ids long")
     return drained(spark, out, "stream-over-duration").select("event_id", "n", "ids")
 
 

@@ -4,9 +4,11 @@ import random
 import time
 from bisect import insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 
+from millrace.plans import catalog
 from millrace.sources.files import Insertable
 from millrace.streaming import jobs, stateful
 
@@ -200,3 +202,20 @@ def test_state_is_readable_and_the_watermark_itself_counts(spark, tmp_path):
         assert sorted(r[2] for r in out if size) == ([1, 1, 2] if size else [])
         held = stateful.state_of(spark, f"{tmp_path}/c{size}").select("list_element.*").collect()
         assert sorted(r.k for r in held) == left and {r.ts for r in held} <= {end, end - 1499}
+
+
+def test_over_duration_takes_microseconds_a_row():
+    p, rows = buffer(True, 50), [(i, str(i)) for i in range(60_000)]
+    began = time.process_time()
+    assert not list(p.handleInputRows((), frames(rows), Now(0)))
+    got = plain(p.handleExpiredTimer((), Now(60_049), None))
+    assert time.process_time() - began < 6  # with a frame for each row it takes far longer
+    assert len(got) == 60_000 and got[100] == (100, "100", 50, sum(range(100, 150))) and got[-1] == (59_999, "59999", 1, 59_999)
+
+
+def test_the_queries_take_windows_at_once():
+    """In both, what the body gives is a column for many rows."""
+    assert isinstance(catalog._COUNT_AND_SUM, stateful.Spans)
+    rows = pd.DataFrame({"event_id": pd.Series([(1 << 62), (1 << 62) - 1, None], dtype=object)})
+    n, ids = catalog._COUNT_AND_SUM.make((), rows, np.array([0, 1, 2]), np.array([2, 3, 3]))
+    assert list(n) == [2, 2, 1] and list(ids) == [(1 << 63) - 1, (1 << 62) - 1, None]
